@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import decontam, jaccard, langid, sharding
+from termloom.llm import decontam, jaccard, langid, mixing, sharding
 from termloom.llm._io import table
 
 
@@ -15,6 +15,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": lambda spark, sf_dir: langid.identify(_docs(spark, sf_dir)),
     "op6_ngram_jaccard": lambda spark, sf_dir: jaccard.near_duplicates(_docs(spark, sf_dir)),
+    "op7_mixing": lambda spark, sf_dir: mixing.rates(_docs(spark, sf_dir), table(spark, sf_dir, "labels")),
     "op8_decontamination": lambda spark, sf_dir: decontam.contaminated(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark")),
     "op9_sharding": lambda spark, sf_dir: sharding.cut_points(_docs(spark, sf_dir)),
 }
