@@ -1 +1,337 @@
-QUERIES = {}
+"""Queries over the driver tables, one or more for each operator."""
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termloom.functions import text as t
+from termloom.functions.classes import similarities, with_similarity
+from termloom.operators import annotate, classify, crawl, discover, harvest, kb, segment
+from termloom.sources import dictionary
+
+MATCH = ("doc_id", "offset_begin", "offset_end", "conceptid", "concept", "category", "domain", "link")
+PAGE_DOMAIN = "pages"
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", "text")
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.text_runs(_docs(spark, sf))
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct words of all documents as they are written."""
+    return segment.words(_runs(spark, sf)).select("word").distinct()
+
+
+def _longest(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.longest(discover.candidates(_runs(spark, sf), dictionary.concepts(spark, sf), 3))
+
+
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.merged(discover.greedy(_longest(spark, sf)))
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.first_occurrences(_merged(spark, sf))
+
+
+def _flat(m: DataFrame) -> DataFrame:
+    return m.select(*MATCH, F.coalesce(F.array_join("multilinks", ","), F.lit("")).alias("multilinks"))
+
+
+def _urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document is the page of the benchmark item of its number, so that some links lead back to it."""
+    return _docs(spark, sf).select("doc_id", F.concat(F.lit("https://www.example.org/"), F.col("doc_id")).alias("url"))
+
+
+# pages
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url", "html")
+
+
+def _page_harvest(pages: DataFrame) -> DataFrame:
+    """The h1 as concept, bold texts as synonyms, the html element's language as category."""
+    title = F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1)
+    bold = F.slice(F.regexp_extract_all("html", F.lit(r"<b>([^<]*)<"), F.lit(1)), 1, 3)
+    lang = F.regexp_extract("html", r'<html lang="([a-z]+)"', 1)
+    trim = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}_+' -]", ""))
+    return pages.select(F.col("url").alias("page"), trim(title).alias("concept"), t.canonical_url(F.col("url")).alias("url"), F.lit("msc").alias("scheme"), F.array(F.concat(lang, F.lit("-XX"))).alias("categories"), F.transform(bold, trim).alias("synonyms"))
+
+
+def _flat_harvest(spark: SparkSession, sf: str, even: bool | None = None) -> DataFrame:
+    """All pages, or a revision in which pages of even or odd number are left out."""
+    p = _pages(spark, sf)
+    if even is not None:
+        p = p.filter((F.col("doc_id") % 2 == 0) if even else (F.col("doc_id") % 3 > 0))
+    return harvest.admissible_rows(harvest.flatten(_page_harvest(p)))
+
+
+def _old(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat_harvest(spark, sf, True).select("concept", "category").distinct()
+
+
+def _new(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat_harvest(spark, sf, False).select("concept", "category", F.col("url").alias("link")).distinct()
+
+
+def _page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Navigation links of a page, resolved against its host; a page's own path without its query is a target, too."""
+    p = _pages(spark, sf)
+    host = F.regexp_extract(t.canonical_url(F.col("url")), r"^([^/]*)", 1)
+    href = F.explode(F.regexp_extract_all("html", F.lit(r'<a href="(/[^"]*)"'), F.lit(1)))
+    down = p.select(F.concat(F.lit("host:"), host).alias("url"), t.canonical_url(F.col("url")).alias("target"))
+    out = p.select(t.canonical_url(F.col("url")).alias("url"), host.alias("h"), href.alias("href"))
+    top = p.select(F.lit("root").alias("url"), F.concat(F.lit("host:"), host).alias("target"))
+    return down.union(out.select("url", F.concat("h", "href").alias("target"))).union(top).distinct()
+
+
+def _kb(spark: SparkSession, sf: str) -> kb.KnowledgeBase:
+    """Benchmark items as objects, the dictionary as concepts, and as edges all distinct pairs of a document's number, where it is an
+    item's, and a concept it holds."""
+    items = _read(spark, sf, "benchmark").select(F.col("item_id").alias("objectid"), F.concat(F.lit("example.org/"), F.col("item_id")).alias("url"))
+    objects = items.select("objectid", "url", F.lit("alpha").alias("domain"), F.lit(None).cast("timestamp").alias("modified"))
+    concepts = dictionary.concepts(spark, sf)
+    own = _docs(spark, sf).join(items.select(F.col("objectid").alias("doc_id")), "doc_id", "left_semi")
+    m = discover.merged(discover.greedy(discover.longest(discover.candidates(segment.text_runs(own), concepts, 3))))
+    m = discover.first_occurrences(m)
+    edges = discover.edges(m, objects.select("objectid", F.col("objectid").alias("doc_id")))
+    return kb.KnowledgeBase(objects, concepts, edges)
+
+
+# queries
+
+
+def tokenize_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.words(_runs(spark, sf))
+
+
+def normalize_words(spark: SparkSession, sf: str) -> DataFrame:
+    return _words(spark, sf).select("word", t.normal_word(F.col("word")).alias("normal"))
+
+
+def possessive_fns(spark: SparkSession, sf: str) -> DataFrame:
+    p = _read(spark, sf, "part").select("p_partkey", t.possessive(F.col("p_name")).alias("possessive"))
+    return p.select("p_partkey", "possessive", t.is_possessive(F.col("possessive")).alias("is_possessive"), t.nonpossessive(F.col("possessive")).alias("plain"))
+
+
+def plural_fns(spark: SparkSession, sf: str) -> DataFrame:
+    w = _words(spark, sf).withColumn("phrase", F.concat_ws(" ", "word", F.lit("of things")))
+    c = F.col("word")
+    return w.select("word", t.plural(c).alias("plural"), t.singular_phrase(c).alias("singular"), t.is_plural(c).alias("is_plural"), t.plural(F.col("phrase")).alias("phrase_plural"), t.singular_phrase(F.col("phrase")).alias("phrase_singular"))
+
+
+def root_words(spark: SparkSession, sf: str) -> DataFrame:
+    return _words(spark, sf).select("word", t.root(F.col("word")).alias("root"), t.undetermined(F.lower("word")).alias("undetermined"))
+
+
+def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
+    c = t.canonical_url(F.col("url"))
+    return _read(spark, sf, "pages").select("page_id", c.alias("canonical"), t.with_protocol(c).alias("absolute"), t.source_path(c).alias("source"), t.unescaped(c).alias("unescaped"))
+
+
+def name_fns(spark: SparkSession, sf: str) -> DataFrame:
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    p = _read(spark, sf, "pages").select("page_id", title.alias("title"))
+    c = F.col("title")
+    return p.select("page_id", t.cleaned_title(c).alias("cleaned"), t.page_concept(c).alias("concept"), t.right_trimmed(F.concat(c, F.lit("  "))).alias("trimmed"), t.domain_name(F.regexp_extract(c, r"^(\w*)", 1)).alias("domain"))
+
+
+def firstword_split(spark: SparkSession, sf: str) -> DataFrame:
+    p = _read(spark, sf, "part")
+    return p.select("p_partkey", t.first_word(F.col("p_name")).alias("firstword"), t.tail_words(F.col("p_name")).alias("tailwords"))
+
+
+def admissible_names(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.explode(F.split("text", "\n"))
+    return _read(spark, sf, "conversations").select("conv_id", "turn", line.alias("name")).filter(t.admissible(F.col("name")))
+
+
+def tag_to_concept(spark: SparkSession, sf: str) -> DataFrame:
+    tag = F.lower(F.concat_ws("-", F.concat(F.lit("ab."), F.regexp_replace("p_name", " ", "-")), "p_size"))
+    return _read(spark, sf, "part").select("p_partkey", t.tag_to_concept(tag).alias("concept"))
+
+
+def concept_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    return dictionary.concepts(spark, sf)
+
+
+def dictionary_probe(spark: SparkSession, sf: str) -> DataFrame:
+    m = discover.probe(_words(spark, sf), dictionary.concepts(spark, sf), "alpha")
+    return m.select("word", "conceptid", t.concept_of(F.col("firstword"), F.col("tailwords")).alias("concept"))
+
+
+def stopword_antijoin(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.stop_filter(_words(spark, sf))
+
+
+def phrase_longest_match(spark: SparkSession, sf: str) -> DataFrame:
+    return _longest(spark, sf).select(*MATCH, "n_words")
+
+
+def link_spans_greedy(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.greedy(_longest(spark, sf)).select(*MATCH)
+
+
+def multilink_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(_merged(spark, sf))
+
+
+def first_occurrence(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(_matches(spark, sf))
+
+
+def self_link_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.without_self_links(_merged(spark, sf), _urls(spark, sf)).select(*MATCH)
+
+
+def domain_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.domain_filter(_matches(spark, sf), "beta").select(*MATCH)
+
+
+def html_skip_depth(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.html_segments(_pages(spark, sf)).select("doc_id", "pos", "offset", F.length("piece").alias("n"), "depth")
+
+
+def html_text_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.html_runs(_pages(spark, sf))
+
+
+def html_text_length(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.text_length(segment.html_runs(_pages(spark, sf)))
+
+
+def html_links(spark: SparkSession, sf: str) -> DataFrame:
+    runs = segment.html_runs(_pages(spark, sf))
+    return discover.greedy(discover.longest(discover.candidates(runs, dictionary.concepts(spark, sf), 3))).select(*MATCH)
+
+
+def harvest_pages(spark: SparkSession, sf: str) -> DataFrame:
+    h = _page_harvest(_pages(spark, sf))
+    return h.select("page", "concept", "url", F.array_join("categories", ",").alias("categories"), F.array_join("synonyms", ",").alias("synonyms"))
+
+
+def flatten_harvest(spark: SparkSession, sf: str) -> DataFrame:
+    return harvest.flatten(_page_harvest(_pages(spark, sf))).select("page", "concept", "category", "scheme", "url")
+
+
+def harvest_diff_delete(spark: SparkSession, sf: str) -> DataFrame:
+    return harvest.to_delete(_old(spark, sf), _new(spark, sf))
+
+
+def harvest_diff_add(spark: SparkSession, sf: str) -> DataFrame:
+    return harvest.to_add(_old(spark, sf), _new(spark, sf))
+
+
+def harvest_unchanged(spark: SparkSession, sf: str) -> DataFrame:
+    return harvest.unchanged(_old(spark, sf), _new(spark, sf))
+
+
+def upsert_objects(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _pages(spark, sf).select("url", F.lit(PAGE_DOMAIN).alias("domain"))
+    return kb.add_objects(_kb(spark, sf), rows).objects.select("objectid", "url", "domain")
+
+
+def upsert_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "part").select(F.col("p_name").alias("concept"), F.lit("00-XX").alias("category"), F.col("p_partkey").alias("objectid"), F.lit("example.org").alias("link"), F.lit("alpha").alias("domain"), F.lit(None).cast("string").alias("scheme"))
+    return kb.add_concepts(_kb(spark, sf), rows).concepts
+
+
+def delete_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    base = _kb(spark, sf)
+    gone = base.concepts.filter("objectid % 2 = 0").select(t.concept_of(F.col("firstword"), F.col("tailwords")).alias("concept"), "category", "objectid")
+    return kb.delete_concepts(base, gone).concepts
+
+
+def links_cache_build(spark: SparkSession, sf: str) -> DataFrame:
+    return _kb(spark, sf).links
+
+
+def links_cache_flush(spark: SparkSession, sf: str) -> DataFrame:
+    base = _kb(spark, sf)
+    mine = base.objects.filter("objectid % 3 = 0")
+    return kb.relink(base, base.links.join(mine, "objectid", "left_semi").filter("conceptid % 2 = 0"), mine).links
+
+
+def invalidate_urls(spark: SparkSession, sf: str) -> DataFrame:
+    base = _kb(spark, sf)
+    return kb.invalidated(base, base.concepts.filter("objectid % 2 = 0"))
+
+
+def merge_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The base merged with the part of it of the domain beta; concepts with their new objects' urls."""
+    base = _kb(spark, sf)
+    other = kb.KnowledgeBase(base.objects.filter("objectid % 2 = 1"), base.concepts.filter("domain = 'beta' and objectid % 2 = 1"), base.links.limit(0))
+    m = kb.merge([base, other])
+    return m.concepts.select("conceptid", "firstword", "tailwords", "category", "domain", "link", "objectid").join(m.objects.select("objectid", "url"), "objectid")
+
+
+def msc_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    c = dictionary.concepts(spark, sf).select("category").distinct()
+    pairs = c.withColumnRenamed("category", "category1").crossJoin(F.broadcast(c.withColumnRenamed("category", "category2")))
+    return with_similarity(pairs.unionByName(spark.createDataFrame([("XX-XX", "00-XX")], "category1 string, category2 string")), "category1", "category2").select("category1", "category2", F.round("sim", 8).alias("sim"))
+
+
+def msc_log_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return similarities(spark).select("i", "j", F.round("log_sim", 6).alias("log_sim"))
+
+
+def eligible_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.distinct_links(classify.eligible(_matches(spark, sf))).select(*MATCH, "msc_index")
+
+
+def category_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.weights(classify.distinct_links(classify.eligible(_matches(spark, sf))))
+
+
+def category_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.ranking(category_weights(spark, sf))
+
+
+def disambiguate(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(classify.disambiguate(_matches(spark, sf)))
+
+
+def annotate_html(spark: SparkSession, sf: str) -> DataFrame:
+    return annotate.embed(_docs(spark, sf), _merged(spark, sf), icons={"alpha": "http://example.org/a.ico", "beta": "http://example.org/b.ico"})
+
+
+def annotate_rdfa(spark: SparkSession, sf: str) -> DataFrame:
+    return annotate.embed(_docs(spark, sf), _merged(spark, sf), "html+rdfa", "alpha", {"alpha": "http://example.org/a.ico"})
+
+
+def standoff_spans(spark: SparkSession, sf: str) -> DataFrame:
+    s = annotate.spans(_merged(spark, sf))
+    return s.select("doc_id", "offset_begin", "offset_end", F.array_join(F.transform("links", lambda x: F.concat_ws("|", x["link"], x["domain"])), ",").alias("links"))
+
+
+def standoff_json(spark: SparkSession, sf: str) -> DataFrame:
+    return annotate.standoff(classify.disambiguate(_matches(spark, sf)))
+
+
+def crawl_bfs(spark: SparkSession, sf: str) -> DataFrame:
+    start = spark.createDataFrame([("root",)], "url string")
+    blocked = _page_links(spark, sf).filter("url like '%page=2%'").select("url")
+    return crawl.breadth_first(_page_links(spark, sf), start, 3, blocked)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        tokenize_offsets, normalize_words, possessive_fns, plural_fns, root_words, canonical_urls, name_fns, firstword_split, admissible_names,
+        tag_to_concept, concept_dictionary, dictionary_probe, stopword_antijoin, phrase_longest_match, link_spans_greedy, multilink_merge,
+        first_occurrence, self_link_filter, domain_filter, html_skip_depth, html_text_runs, html_text_length, html_links, harvest_pages,
+        flatten_harvest, harvest_diff_delete, harvest_diff_add, harvest_unchanged, upsert_objects, upsert_concepts, delete_concepts,
+        links_cache_build, links_cache_flush, invalidate_urls, merge_snapshots, msc_similarity_pairs, msc_log_similarity,
+        eligible_candidates, category_weights, category_ranking, disambiguate, annotate_html, annotate_rdfa, standoff_spans, standoff_json, crawl_bfs,
+    )
+}
