@@ -3,13 +3,15 @@
 A word is a maximal run of ASCII letters, digits and bytes from 0x80; everything else separates.
 """
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 2 << 20  # bytes of text handled at once; a longer text is a piece of its own
+PIECE = 512 << 10  # bytes of text handled at once; a longer text is a piece of its own
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -91,3 +93,17 @@ def ngrams(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
         w = h[np.minimum(first + j, max(len(h) - 1, 0))] if len(h) else g
         g = g * _STEP + np.where(j < left, w, _U(0))
     return mix(g), starts
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a Python worker, which later tasks use again, gives its free memory back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole

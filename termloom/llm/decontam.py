@@ -95,7 +95,7 @@ def idf(docs: DataFrame) -> np.ndarray:
                 total += len(first)
         yield pa.RecordBatch.from_pydict({"k": np.arange(-1, 1 << BITS, dtype=np.int32), "n": np.concatenate([[total], df])})
 
-    rows = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(_vec.lean(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(1 + (1 << BITS))
     n[rows["k"].to_numpy() + 1] = rows["n"].to_numpy()
     return np.log((1 + n[0]) / (1 + n[1:])).astype(np.float32)
@@ -130,7 +130,7 @@ def latent(docs: DataFrame, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * width), pa.array(z[k].ravel()))
         yield pa.RecordBatch.from_pydict({"k": k.astype(np.int32), "z": flat})
 
-    part = docs.select("text").mapInArrow(run, "k int, z array<double>")
+    part = docs.select("text").mapInArrow(_vec.lean(run), "k int, z array<double>")
     total = part.groupBy("k").agg(F.array(*[F.sum(F.get("z", F.lit(i))) for i in range(width)]).alias("z")).toPandas()
     z = np.zeros((1 << BITS, width))
     if len(total):
@@ -260,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                     row, item_id, cos, share, answer = zip(*found)
                     yield pa.RecordBatch.from_pydict({"doc_id": doc_ids.take(pa.array(row)), "item_id": pa.array(item_id, pa.int64()), "cosine": np.array(cos), "lcs": np.array(share), "answer": np.array(answer)})
 
-        got = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        got = docs.select("doc_id", "text").mapInArrow(_vec.lean(run), SCHEMA)
         out = got if out is None else out.unionByName(got)
     return out
 

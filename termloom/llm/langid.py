@@ -59,7 +59,7 @@ def train(docs: DataFrame) -> dict:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k)), "k": k.astype(np.int32), "n": c[k]})
 
     labelled = docs.select("lang", "text").filter("lang is not null and lang <> '' and text is not null")
-    counts = labelled.mapInArrow(count, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
+    counts = labelled.mapInArrow(_vec.lean(count), "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     logp = np.zeros((1 << BITS, len(langs)), np.float32)
     for i, lang in enumerate(langs):
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: dict | None = None, max_none: float = MAX_N
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_vec.lean(run), SCHEMA)
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
@@ -202,6 +202,6 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
                 part = part.set_column(2, "lang", pa.array(best, pa.string()))
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_vec.lean(run), docs.schema)
 
 

@@ -74,7 +74,7 @@ def idf(texts: DataFrame, templates: tuple = TEMPLATES) -> tuple[np.ndarray, flo
                 n += hi - lo
         yield pa.RecordBatch.from_pydict({"k": np.arange(-1, len(names), dtype=np.int32), "n": np.concatenate([[n], df])})
 
-    rows = texts.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    rows = texts.select("text").mapInArrow(_vec.lean(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(1 + len(names))
     for r in rows:
         n[r.k + 1] = r.n
@@ -131,7 +131,7 @@ def own_licenses(texts: DataFrame, templates: tuple = TEMPLATES, cosine: float =
                     names=["path", "own", "cosine", "line", "share"],
                 )
 
-    return texts.select("path", "text").mapInArrow(run, SCHEMA)
+    return texts.select("path", "text").mapInArrow(_vec.lean(run), SCHEMA)
 
 
 def directory(path: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm import _vec
-from termloom.llm._io import DOC_COLUMNS, cut
+from termloom.llm._io import DOC_COLUMNS, cut, drop
 
 DOMAINS = ("good", "low", "toxic")  # by labels: toxic = 1; else quality = 0 is low, quality = 1 good
 WEIGHTS = {"good": 0.885, "low": 0.1, "toxic": 0.015}
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
                 own = [np.unique(h[at[i] : at[i + 1]]).view(np.int64) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_pydict({"y": batch.column("y").slice(lo, hi - lo), "words": pa.array(own, pa.list_(pa.int64())), "dense": pa.array(list(dense), pa.list_(pa.float64()))})
 
-    rows = texts.mapInArrow(run, "y int, words array<long>, dense array<double>").toArrow()
+    rows = texts.mapInArrow(_vec.lean(run), "y int, words array<long>, dense array<double>").toArrow()
     c = len(DOMAINS)
     if not rows.num_rows:
         return {"vocabulary": np.zeros(1, np.uint64), "slot": np.full(1 << 16, -1), "w": np.zeros((1, c)), "dense": np.zeros((7, c))}
@@ -123,6 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return {"vocabulary": vocabulary, "slot": slot, "w": w, "dense": v}
 
 
+def _posterior(texts: pa.Array, m: dict, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and its posteriors (texts x domains)."""
+    h, at, dense = _features(texts, t)
+    text, feature = _design(h, at, m["vocabulary"], m["slot"])
+    z = dense @ m["dense"] + np.stack([np.bincount(text, weights=m["w"][feature, k], minlength=len(texts)) for k in range(len(DOMAINS))], 1)
+    return np.diff(at).astype(np.int64), _softmax(z)
+
+
 def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, tokens, p0, p1, ...) for each row of docs; tokens are words. Null and empty texts have 0 tokens."""
     known = docs.sparkSession.sparkContext.broadcast(model)
@@ -131,13 +139,10 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
         t, m = _vec.tables(), known.value
         for batch in batches:
             for lo, hi in _vec.pieces(batch.column("text")):
-                h, at, dense = _features(batch.column("text").slice(lo, hi - lo), t)
-                text, feature = _design(h, at, m["vocabulary"], m["slot"])
-                z = dense @ m["dense"] + np.stack([np.bincount(text, weights=m["w"][feature, k], minlength=hi - lo) for k in range(len(DOMAINS))], 1)
-                p = _softmax(z)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "tokens": np.diff(at).astype(np.int64), **{f"p{k}": p[:, k] for k in range(len(DOMAINS))}})
+                n, p = _posterior(batch.column("text").slice(lo, hi - lo), m, t)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "tokens": n, **{f"p{k}": p[:, k] for k in range(len(DOMAINS))}})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long, " + ", ".join(f"p{k} double" for k in range(len(DOMAINS))))
+    return docs.select("doc_id", "text").mapInArrow(_vec.lean(run), "doc_id long, tokens long, " + ", ".join(f"p{k} double" for k in range(len(DOMAINS))))
 
 
 def _rate(weights: list[np.ndarray]) -> Column:
@@ -206,10 +211,10 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
     return post.select("doc_id", "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], _rate(steps).alias("rate"))
 
 
-def copies(rate: Column, key: Column) -> Column:
+def copies(rate: np.ndarray, key: np.ndarray) -> np.ndarray:
     """rate rounded up or down by a number in [0, 1) that depends on key, so that the expected number of copies is the rate."""
-    u = F.pmod(F.xxhash64(key, F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    u = (_vec.mix(key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) >> np.uint64(11)) / float(1 << 53)
+    return np.floor(rate).astype(np.int64) + (u < rate - np.floor(rate))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -218,25 +223,20 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
     model = fit(docs, labels)
     post = cut(posteriors(docs, model))
     steps, _ = solve(post, weights)
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    drop(post)
+    known = docs.sparkSession.sparkContext.broadcast((model, steps))
     base = docs.select(*DOC_COLUMNS)
 
-    @F.pandas_udf("array<double>")
-    def posterior(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        t, m, out = _vec.tables(), known.value, []
-        column = pa.array(text, pa.large_string())
-        for lo, hi in _vec.pieces(column):
-            h, at, dense = _features(column.slice(lo, hi - lo), t)
-            own, feature = _design(h, at, m["vocabulary"], m["slot"])
-            z = dense @ m["dense"] + np.stack([np.bincount(own, weights=m["w"][feature, k], minlength=hi - lo) for k in range(len(DOMAINS))], 1)
-            out += list(_softmax(z))
-        return pd.Series(out)
-
-    p = base.withColumn("posterior", posterior("text"))
-    p = p.select("*", *[F.get("posterior", F.lit(k)).alias(f"p{k}") for k in range(len(DOMAINS))])
-    n = copies(_rate(steps), F.coalesce("doc_id", F.lit(-1)))
-    return p.select(*DOC_COLUMNS, n.alias("copies")).filter("copies > 0").select(*DOC_COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select(*DOC_COLUMNS)
-
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, (m, down) = _vec.tables(), known.value
+        for batch in batches:
+            for lo, hi in _vec.pieces(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                p = _posterior(part.column("text"), m, t)[1]
+                rate = np.ones(hi - lo)
+                for step in down:
+                    rate = np.maximum(0.0, rate - p @ step)
+                key = part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+                yield part.take(pa.array(np.repeat(np.arange(hi - lo), copies(rate, key))))
+
+    return base.mapInArrow(_vec.lean(run), base.schema)

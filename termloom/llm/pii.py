@@ -8,6 +8,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from termloom.llm import _vec
+
 SCHEMA = "doc_id long, kind string, offset_begin int, offset_end int, value string, disguised boolean"
 
 # Cyrillic and Greek letters that look like Latin ones; full-width forms and odd dashes are added below
@@ -153,4 +155,4 @@ def find(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "kind", "offset_begin", "offset_end", "value", "disguised"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_vec.lean(run), SCHEMA)

@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
+from termloom.llm import _vec
+
 WORDS = r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization|bearer"
 RUN = r"[A-Za-z0-9+/_=.~-]"
 AHEAD = 32  # characters of a line in which a sensitive word may stand before its string
@@ -92,4 +94,4 @@ def find(docs: DataFrame, identifiers: str = IDENTIFIERS) -> DataFrame:
                     names=["doc_id", "offset_begin", "offset_end", "context", "n_chars", "marginal_bytes", "novelty"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(scan_all, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_vec.lean(scan_all), SCHEMA)

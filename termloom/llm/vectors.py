@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from termloom.llm import _vec
 from termloom.llm._io import cut
 
 COSINE = 0.98
@@ -82,7 +83,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
                     coords = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * z.shape[1]), pa.array(z[row].astype(np.float32).ravel()))
                     yield pa.RecordBatch.from_pydict({"vec_id": ids[own][row], "part": np.full(len(row), int(d) * 4096 + k, np.int64), "cell": cell, "home": home, "budget": np.full(len(row), budget + 1e-6), "z": coords})
 
-    listed = cut(reps.mapInArrow(run, "vec_id long, part long, cell long, home boolean, budget double, z array<float>"))
+    listed = cut(reps.mapInArrow(_vec.lean(run), "vec_id long, part long, cell long, home boolean, budget double, z array<float>"))
     dims = [F.coalesce(F.get("z", F.lit(i)), F.lit(0.0)).cast("float") for i in range(block)]
     left = listed.filter("home").select("part", "cell", "budget", F.col("vec_id").alias("id_a"), *[d.alias(f"a{i}") for i, d in enumerate(dims)])
     right = listed.select("part", "cell", F.col("vec_id").alias("id_b"), *[d.alias(f"b{i}") for i, d in enumerate(dims)])
