@@ -12,8 +12,8 @@ BROADCAST_CONCEPTS = 2_000_000  # most concepts that are broadcast; a larger dic
 CONCEPT = ("conceptid", "firstword", "tailwords", "category", "scheme", "domain", "link", "objectid")
 
 
-def _side(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_CONCEPTS else df
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_CONCEPTS else df
 
 
 def stop_filter(tokens: DataFrame, column: str = "word") -> DataFrame:
@@ -28,7 +28,7 @@ def probe(tokens: DataFrame, concepts: DataFrame, domain: str | None = None) ->
     if domain and domain.lower() != "all":
         c = c.filter(F.col("domain") == domain)
     keyed = tokens.withColumn("norm", normal_word(F.col("word"))).filter("norm <> ''")
-    return keyed.join(_side(c), F.col("norm") == F.col("firstword")).drop("norm")
+    return keyed.join(_side(c, c.count()), F.col("norm") == F.col("firstword")).drop("norm")
 
 
 def phrases(concepts: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def phrases(concepts: DataFrame) -> DataFrame:
     return concepts.select(*CONCEPT).withColumn("phrase", phrase).withColumn("n_words", F.size(F.split("phrase", " ")))
 
 
-def candidates(runs: DataFrame, concepts: DataFrame, longest: int | None = None) -> DataFrame:
+def candidates(runs: DataFrame, concepts: DataFrame) -> DataFrame:
     """All matches of dictionary phrases in runs (doc_id, offset, text): doc_id, offset_begin, offset_end, n_words, concept columns.
 
     A phrase of k words matches k normalised words with white space only between them, the first no stop word. Words
@@ -45,11 +45,11 @@ def candidates(runs: DataFrame, concepts: DataFrame, longest: int | None = None)
     phrase is made, by a join with the distinct first words; phrases then join the dictionary.
     """
     known = phrases(concepts)
-    if longest is None:
-        longest = known.agg(F.max("n_words")).first()[0] or 1
+    size = known.agg(F.count("*").alias("rows"), F.max("n_words").alias("words")).first()
+    longest = size.words or 1
     t = stop_filter(words(runs, longest - 1)).withColumn("w1", normal_word(F.col("word"))).filter("w1 <> ''")
     firsts = known.select(F.split("phrase", " ")[0].alias("w1")).distinct()
-    t = t.join(_side(firsts), "w1", "left_semi")
+    t = t.join(_side(firsts, size.rows), "w1", "left_semi")
     options, phrase, ok = [], F.col("w1"), F.lit(True)
     options.append(F.struct(F.lit(1).alias("n"), F.col("offset_end").alias("end"), F.col("w1").alias("phrase")))
     for k in range(1, longest):
@@ -59,7 +59,7 @@ def candidates(runs: DataFrame, concepts: DataFrame, longest: int | None = None)
         options.append(F.when(ok, F.struct(F.lit(k + 1).alias("n"), F.col(f"e{k}").alias("end"), phrase.alias("phrase"))))
     t = t.select("doc_id", "offset_begin", F.explode(F.array_compact(F.array(*options))).alias("x"))
     t = t.select("doc_id", "offset_begin", F.col("x.end").cast("int").alias("offset_end"), F.col("x.phrase").alias("phrase"))
-    return t.join(_side(known), "phrase").select("doc_id", "offset_begin", "offset_end", "n_words", F.col("phrase").alias("concept"), *CONCEPT)
+    return t.join(_side(known, size.rows), "phrase").select("doc_id", "offset_begin", "offset_end", "n_words", F.col("phrase").alias("concept"), *CONCEPT)
 
 
 def longest(matches: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "documents").select("doc_id", "text")
 
 
+def _dict(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary, which has a row for each phrase of the small benchmark table, is kept while the session uses it."""
+    return dictionary.concepts(spark, sf).cache()
+
+
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     return segment.text_runs(_docs(spark, sf))
 
@@ -32,7 +37,7 @@ def _words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _longest(spark: SparkSession, sf: str) -> DataFrame:
-    return discover.longest(discover.candidates(_runs(spark, sf), dictionary.concepts(spark, sf), 3))
+    return discover.longest(discover.candidates(_runs(spark, sf), _dict(spark, sf)))
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,9 +105,9 @@ def _kb(spark: SparkSession, sf: str) -> kb.KnowledgeBase:
     item's, and a concept it holds."""
     items = _read(spark, sf, "benchmark").select(F.col("item_id").alias("objectid"), F.concat(F.lit("example.org/"), F.col("item_id")).alias("url"))
     objects = items.select("objectid", "url", F.lit("alpha").alias("domain"), F.lit(None).cast("timestamp").alias("modified"))
-    concepts = dictionary.concepts(spark, sf)
+    concepts = _dict(spark, sf)
     own = _docs(spark, sf).join(items.select(F.col("objectid").alias("doc_id")), "doc_id", "left_semi")
-    m = discover.merged(discover.greedy(discover.longest(discover.candidates(segment.text_runs(own), concepts, 3))))
+    m = discover.merged(discover.greedy(discover.longest(discover.candidates(segment.text_runs(own), concepts))))
     m = discover.first_occurrences(m)
     edges = discover.edges(m, objects.select("objectid", F.col("objectid").alias("doc_id")))
     return kb.KnowledgeBase(objects, concepts, edges)
@@ -166,7 +171,7 @@ def concept_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dictionary_probe(spark: SparkSession, sf: str) -> DataFrame:
-    m = discover.probe(_words(spark, sf), dictionary.concepts(spark, sf), "alpha")
+    m = discover.probe(_words(spark, sf), _dict(spark, sf), "alpha")
     return m.select("word", "conceptid", t.concept_of(F.col("firstword"), F.col("tailwords")).alias("concept"))
 
 
@@ -212,7 +217,7 @@ def html_text_length(spark: SparkSession, sf: str) -> DataFrame:
 
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
     runs = segment.html_runs(_pages(spark, sf))
-    return discover.greedy(discover.longest(discover.candidates(runs, dictionary.concepts(spark, sf), 3))).select(*MATCH)
+    return discover.greedy(discover.longest(discover.candidates(runs, _dict(spark, sf)))).select(*MATCH)
 
 
 def harvest_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,7 +281,7 @@ def merge_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def msc_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    c = dictionary.concepts(spark, sf).select("category").distinct()
+    c = _dict(spark, sf).select("category").distinct()
     pairs = c.withColumnRenamed("category", "category1").crossJoin(F.broadcast(c.withColumnRenamed("category", "category2")))
     return with_similarity(pairs.unionByName(spark.createDataFrame([("XX-XX", "00-XX")], "category1 string, category2 string")), "category1", "category2").select("category1", "category2", F.round("sim", 8).alias("sim"))
 
