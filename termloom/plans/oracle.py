@@ -48,7 +48,7 @@ def _normal(name: str, source: str) -> str:
     return f"""
 {name}_0 AS (SELECT DISTINCT word AS w, {_UNDETERMINED.format(x=_plain("word"))} AS x FROM {source}),
 {name}_1 AS (SELECT w, {_NONPOSSESSIVE.format(x="x")} AS x FROM {name}_0),
-{name} AS (SELECT w, CASE WHEN regexp_matches(x, 'oci|s$') THEN {_rules("x", t.SINGULAR_WORD)} ELSE x END AS norm FROM {name}_1)"""
+{name} AS MATERIALIZED (SELECT w, CASE WHEN regexp_matches(x, 'oci|s$') THEN {_rules("x", t.SINGULAR_WORD)} ELSE x END AS norm FROM {name}_1)"""
 
 
 def _tokens(name: str, source: str) -> str:
@@ -61,7 +61,7 @@ def _tokens(name: str, source: str) -> str:
 {name}_l AS (SELECT *, lead(piece, 1) OVER ({w}) AS g1, lead(piece, 2) OVER ({w}) AS x1, lead(piece, 3) OVER ({w}) AS g2, lead(piece, 4) OVER ({w}) AS x2,
   lead(b + length(piece), 2) OVER ({w}) AS y1, lead(b + length(piece), 4) OVER ({w}) AS y2 FROM {name}_o),
 {name}_m AS (SELECT *, regexp_matches(g1, '^\\s+$') AND x1 IS NOT NULL AS ok1, regexp_matches(g2, '^\\s+$') AND x2 IS NOT NULL AS ok2 FROM {name}_l WHERE {_WORD}),
-{name} AS (SELECT doc_id, b, CAST(b + length(piece) AS INTEGER) AS e, piece AS word, CASE WHEN ok1 THEN x1 END AS n1, CASE WHEN ok1 THEN y1 END AS e1,
+{name} AS MATERIALIZED (SELECT doc_id, b, CAST(b + length(piece) AS INTEGER) AS e, piece AS word, CASE WHEN ok1 THEN x1 END AS n1, CASE WHEN ok1 THEN y1 END AS e1,
   CASE WHEN ok1 AND ok2 THEN x2 END AS n2, CASE WHEN ok1 AND ok2 THEN y2 END AS e2 FROM {name}_m)"""
 
 
@@ -76,9 +76,9 @@ _DICTIONARY = f"""
 bf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS rn FROM bt) WHERE rn <= {WORDS} AND NOT EXISTS (SELECT 1 FROM stop WHERE stop = lower(word))),
 bw AS (SELECT doc_id AS item_id, a.norm AS w1, b.norm AS w2, c.norm AS w3 FROM bf JOIN bn a ON a.w = word LEFT JOIN bn b ON b.w = n1 LEFT JOIN bn c ON c.w = n2 WHERE a.norm <> ''),
 bg AS (SELECT item_id, w1 AS concept, 1 AS n_words FROM bw UNION ALL SELECT item_id, w1 || ' ' || w2, 2 FROM bw WHERE w2 <> '' UNION ALL SELECT item_id, w1 || ' ' || w2 || ' ' || w3, 3 FROM bw WHERE w2 <> '' AND w3 <> ''),
-bc AS (SELECT concept, n_words, min(item_id) AS item_id, row_number() OVER (ORDER BY n_words, concept) AS n FROM bg GROUP BY concept, n_words),
+bc AS MATERIALIZED (SELECT concept, n_words, min(item_id) AS item_id, row_number() OVER (ORDER BY n_words, concept) AS n FROM bg GROUP BY concept, n_words),
 br AS (SELECT n, concept, n_words, item_id, {_CODES}[n % {len(CODES)} + 1] || '-XX' AS category, {_DOMAINS}[n % 3 + 1] AS domain, {_DOMAINS}[(n + 1) % 3 + 1] AS other, 'example.org/' || item_id AS link FROM bc),
-dict AS (SELECT conceptid, split_part(concept, ' ', 1) AS firstword, substr(concept, length(split_part(concept, ' ', 1)) + 2) AS tailwords, category, 'msc' AS scheme, domain, link, item_id AS objectid, concept, n_words FROM (
+dict AS MATERIALIZED (SELECT conceptid, split_part(concept, ' ', 1) AS firstword, substr(concept, length(split_part(concept, ' ', 1)) + 2) AS tailwords, category, 'msc' AS scheme, domain, link, item_id AS objectid, concept, n_words FROM (
   SELECT n AS conceptid, concept, n_words, category, domain, link, item_id FROM br
   UNION ALL SELECT n + 1000000, concept, n_words, category, domain, link || '/more', item_id FROM br WHERE n % 5 = 0
   UNION ALL SELECT n + 2000000, concept, n_words, category, other, 'http://other.example.org/' || item_id, item_id FROM br WHERE n % 7 = 0))"""
@@ -86,19 +86,19 @@ dict AS (SELECT conceptid, split_part(concept, ' ', 1) AS firstword, substr(conc
 
 def _matching(tok: str = "tok") -> str:
     return f"""
-hits AS (SELECT * FROM {tok} WHERE NOT EXISTS (SELECT 1 FROM stop WHERE stop = lower(word))),
+hits AS MATERIALIZED (SELECT * FROM {tok} WHERE NOT EXISTS (SELECT 1 FROM stop WHERE stop = lower(word))),
 {_normal("nw", f"(SELECT word FROM hits UNION SELECT n1 FROM hits WHERE n1 IS NOT NULL UNION SELECT n2 FROM hits WHERE n2 IS NOT NULL)")},
 grams AS (SELECT doc_id, b, e, a.norm AS w1, e1, x.norm AS w2, e2, y.norm AS w3 FROM hits JOIN nw a ON a.w = word LEFT JOIN nw x ON x.w = n1 LEFT JOIN nw y ON y.w = n2 WHERE a.norm <> ''),
 cand AS (SELECT doc_id, b, g.e AS e, d.* FROM (SELECT doc_id, b, e, w1 AS p FROM grams UNION ALL SELECT doc_id, b, e1, w1 || ' ' || w2 FROM grams WHERE w2 <> ''
   UNION ALL SELECT doc_id, b, e2, w1 || ' ' || w2 || ' ' || w3 FROM grams WHERE w2 <> '' AND w3 <> '') g JOIN dict d ON d.concept = p),
-lng AS (SELECT * FROM (SELECT *, max(n_words) OVER (PARTITION BY doc_id, b) AS top FROM cand) WHERE n_words = top),
+lng AS MATERIALIZED (SELECT * FROM (SELECT *, max(n_words) OVER (PARTITION BY doc_id, b) AS top FROM cand) WHERE n_words = top),
 sp AS (SELECT doc_id, b, max(e) AS e FROM lng GROUP BY 1, 2),
-nxt AS (SELECT s.doc_id, s.b, n.b AS nb FROM sp s ASOF JOIN sp n ON s.doc_id = n.doc_id AND s.e <= n.b),
+nxt AS MATERIALIZED (SELECT s.doc_id, s.b, n.b AS nb FROM sp s ASOF JOIN sp n ON s.doc_id = n.doc_id AND s.e <= n.b),
 walk(doc_id, b) AS (SELECT doc_id, min(b) FROM sp GROUP BY doc_id UNION ALL SELECT w.doc_id, n.nb FROM walk w JOIN nxt n ON n.doc_id = w.doc_id AND n.b = w.b),
-gr AS (SELECT lng.* FROM lng JOIN walk USING (doc_id, b)),
-mg AS (SELECT doc_id, b, e, category, domain, min(conceptid) AS conceptid, arg_min(concept, conceptid) AS concept, arg_min(link, conceptid) AS link, arg_min(scheme, conceptid) AS scheme,
+gr AS MATERIALIZED (SELECT lng.* FROM lng JOIN walk USING (doc_id, b)),
+mg AS MATERIALIZED (SELECT doc_id, b, e, category, domain, min(conceptid) AS conceptid, arg_min(concept, conceptid) AS concept, arg_min(link, conceptid) AS link, arg_min(scheme, conceptid) AS scheme,
   CASE WHEN count(*) > 1 THEN list(link ORDER BY conceptid) END AS multilinks FROM gr GROUP BY 1, 2, 3, 4, 5),
-fo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, concept, link, category ORDER BY b, conceptid) AS rn FROM mg) WHERE rn = 1)"""
+fo AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, concept, link, category ORDER BY b, conceptid) AS rn FROM mg) WHERE rn = 1)"""
 
 
 _LINKED = f"WITH RECURSIVE {_TOKENS}, {_DICTIONARY}, {_matching()}"
@@ -111,7 +111,7 @@ _SKIP = "(?:" + "|".join(SKIPPED) + "|h[0-9]+)"
 _SEGMENTS = f"""{_PAGES}, hp AS (SELECT doc_id, regexp_extract_all(html, {_q(TAGS)}, 1) AS ps FROM pg),
 he AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS pos, unnest(ps) AS piece FROM hp),
 hd AS (SELECT *, CASE WHEN regexp_matches(piece, {_q(f"^<{_SKIP}(?:[\\s/>])")}) AND NOT regexp_matches(piece, '/>$') THEN 1 WHEN regexp_matches(piece, {_q(f"^</{_SKIP}\\s*>")}) THEN -1 ELSE 0 END AS d FROM he),
-hs AS (SELECT doc_id, pos, piece, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS off,
+hs AS MATERIALIZED (SELECT doc_id, pos, piece, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS off,
   CAST(sum(d) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS depth FROM hd),
 hr AS (SELECT doc_id, off, piece AS text FROM hs WHERE NOT starts_with(piece, '<') AND depth = 0 AND regexp_matches(piece, {_q(t.LETTER)}))"""
 
@@ -123,7 +123,7 @@ ht AS (SELECT doc_id, page, url, category, k, generate_subscripts(ws, 1) AS j, u
 {_normal("hw", "ht")},
 hf AS (SELECT DISTINCT doc_id, page, concept, category, 'msc' AS scheme, url FROM (
   SELECT doc_id, page, url, category, k, string_agg(norm, ' ' ORDER BY j) AS concept FROM ht JOIN hw ON w = word WHERE norm <> '' GROUP BY 1, 2, 3, 4, 5)),
-ha AS (SELECT * FROM hf WHERE regexp_matches(concept, {_q(t.PHRASE)})),
+ha AS MATERIALIZED (SELECT * FROM hf WHERE regexp_matches(concept, {_q(t.PHRASE)})),
 old AS (SELECT DISTINCT concept, category FROM ha WHERE doc_id % 2 = 0),
 new AS (SELECT DISTINCT concept, category, url AS link FROM ha WHERE doc_id % 3 > 0)"""
 
@@ -134,7 +134,7 @@ _CONCEPT = "conceptid, firstword, tailwords, category, scheme, domain, link, obj
 
 _ELIGIBLE = f"""{_LINKED}, el AS (SELECT *, CAST(list_position({_CODES}, substr(category, 1, 2)) - 1 AS INTEGER) AS msc_index FROM fo WHERE scheme = 'msc' AND NOT starts_with(category, 'XX') AND length(concept) >= 7),
 dl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, msc_index, link ORDER BY b, conceptid) AS r2 FROM el WHERE msc_index IS NOT NULL) WHERE r2 = 1),
-cw AS (SELECT doc_id, msc_index, CAST(sum(length(concept) - 7) AS BIGINT) AS weight, count(*) AS size FROM dl GROUP BY 1, 2)"""
+cw AS MATERIALIZED (SELECT doc_id, msc_index, CAST(sum(length(concept) - 7) AS BIGINT) AS weight, count(*) AS size FROM dl GROUP BY 1, 2)"""
 
 
 def _matrix(m: list[list[float]]) -> str:
@@ -169,7 +169,7 @@ _POSSESSIVE = rf"regexp_replace(regexp_replace(p_name, '^({t.WORD.replace(chr(39
 _OF = rf"^({t.LETTER}[\p{{L}}\p{{M}}\p{{N}}_\s]+?{t.LETTER})(\s+(?:of|by)\s+.+)$"
 _PHRASE_HEAD = f"^({t.WORD})(\\s+(?:of|by)\\s+.+)"
 _CRAWL = f"""WITH RECURSIVE {_PAGES}, cu AS (SELECT {_canonical("url")} AS u, html FROM pg), ch AS (SELECT u, regexp_extract(u, '^([^/]*)', 1) AS h, html FROM cu),
-ln AS (SELECT DISTINCT * FROM (SELECT 'host:' || h AS url, u AS target FROM ch UNION ALL SELECT u, h || unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) FROM ch UNION ALL SELECT 'root', 'host:' || h FROM ch)),
+ln AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 'host:' || h AS url, u AS target FROM ch UNION ALL SELECT u, h || unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) FROM ch UNION ALL SELECT 'root', 'host:' || h FROM ch)),
 wk AS (SELECT 'root' AS url, 0 AS depth UNION SELECT target, depth + 1 FROM wk JOIN ln USING (url) WHERE depth < 3 AND url NOT LIKE '%page=2%')
 SELECT url, min(depth) AS depth FROM wk GROUP BY url"""
 
