@@ -70,7 +70,8 @@ def possessive(c: Column) -> Column:
 
 
 def singular_word(c: Column) -> Column:
-    return let(c, lambda x: F.when(x.rlike("oci|s$"), _rules(x, SINGULAR_WORD)).otherwise(x))
+    # most words end otherwise and stay within generated code
+    return F.when(c.rlike("oci|s$"), _rules(c, SINGULAR_WORD)).otherwise(c)
 
 
 def singular_phrase(c: Column) -> Column:

@@ -47,7 +47,7 @@ def candidates(runs: DataFrame, concepts: DataFrame) -> DataFrame:
     known = phrases(concepts)
     size = known.agg(F.count("*").alias("rows"), F.max("n_words").alias("words")).first()
     longest = size.words or 1
-    t = stop_filter(words(runs, longest - 1)).withColumn("w1", normal_word(F.col("word"))).filter("w1 <> ''")
+    t = stop_filter(words(runs, longest - 1)).withColumn("w1", normal_word(F.col("word")))
     firsts = known.select(F.split("phrase", " ")[0].alias("w1")).distinct()
     t = t.join(_side(firsts, size.rows), "w1", "left_semi")
     options, phrase, ok = [], F.col("w1"), F.lit(True)
