@@ -8,6 +8,9 @@ from termloom.operators.discover import domain_filter
 
 CSS = "concept"  # class of a link; of a menu, with an s
 RELATION = 'property="http://purl.org/dc/terms/relation" '
+NOWHERE = "javascript:void(0)"  # a menu's own target
+SHOW = ".".join(("this", "nextSibling", "style", "display='inline'"))  # opens it
+HIDDEN = "display: none;"
 ICONS: dict[str, str] = {}  # domain: icon URL
 
 
@@ -37,8 +40,8 @@ def anchor(text: Column, links: Column, rdfa: bool, icons: dict[str, str]) -> Co
     extra = RELATION if rdfa else ""
     single = F.concat(F.lit(f'<a class="{CSS}" {extra}href="'), links[0]["link"], F.lit('">'), text, F.lit("</a>"))
     item = lambda x: F.concat(F.lit(f'<a class="{CSS}" {extra}href="'), x["link"], F.lit('">'), tooltip(x["domain"], icons), F.lit("</a>"))
-    head = F.lit(f'<a class="{CSS}s" href="javascript:void(0)" onclick="this.nextSibling.style.display=\'inline\'">')
-    menu = F.concat(head, text, F.lit('</a><sup style="display: none;">'), F.array_join(F.transform(links, item), ""), F.lit("</sup>"))
+    head = F.lit(f'<a class="{CSS}s" href="{NOWHERE}" onclick="{SHOW}">')
+    menu = F.concat(head, text, F.lit(f'</a><sup style="{HIDDEN}">'), F.array_join(F.transform(links, item), ""), F.lit("</sup>"))
     return F.when(F.size(links) == 1, single).otherwise(menu)
 
 

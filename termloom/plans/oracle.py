@@ -2,6 +2,7 @@
 
 from termloom.functions import text as t
 from termloom.functions.classes import CODES, matrix, stop_words
+from termloom.operators.annotate import HIDDEN, NOWHERE, SHOW
 from termloom.operators.segment import SKIPPED, TAGS
 from termloom.sources.dictionary import DOMAINS, WORDS
 
@@ -159,7 +160,7 @@ def _embed_sql(domain: str | None, rdfa: bool, icons: dict[str, str]) -> str:
     span = "substr(text, b + 1, e - b)"
     return f"""{_LINKED}, {_links_sql(domain)},
 an AS (SELECT doc_id, b, e, c, CASE WHEN c = 1 THEN '<a class="concept" {extra}href="' || links[1] || '">' || {span} || '</a>'
-  ELSE '<a class="concepts" href="javascript:void(0)" onclick="this.nextSibling.style.display=''inline''">' || {span} || '</a><sup style="display: none;">' || array_to_string([{item} FOR i IN range(1, c + 1)], '') || '</sup>' END AS a,
+  ELSE '<a class="concepts" href="{NOWHERE}" onclick="{SHOW.replace(chr(39), chr(39) * 2)}">' || {span} || '</a><sup style="{HIDDEN}">' || array_to_string([{item} FOR i IN range(1, c + 1)], '') || '</sup>' END AS a,
   substr(text, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) + 1, b - coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0)) AS gap FROM sl JOIN documents USING (doc_id)),
 jn AS (SELECT doc_id, string_agg(gap || a, '' ORDER BY b) AS x, max(e) AS last, CAST(sum(c) AS BIGINT) AS n FROM an GROUP BY 1)
 SELECT d.doc_id, coalesce(x, '') || substr(text, coalesce(last, 0) + 1) AS annotated, coalesce(n, 0) AS n_links FROM documents d LEFT JOIN jn USING (doc_id)"""

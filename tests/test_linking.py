@@ -80,8 +80,8 @@ def annotated(spark, **k):
 def test_annotation(spark):
     got = annotated(spark)
     menu = [f'<a class="concept" href="http://{u}"><img src="{i}" alt="{d}"></img></a>' for u, i, d in (("p.org/a", "i.ico", "P"), ("p.org/g", "i.ico", "P"), ("m.org/a", "", "M"))]
-    head = "<a class=\"concepts\" href=\"javascript:void(0)\" onclick=\"this.nextSibling.style.display='inline'\">"
-    assert got[1] == (f'Simple. We want <a class="concept" href="http://p.org/b">Banach\'s algebra</a> linked, also {head}Abelian groups</a><sup style="display: none;">{"".join(menu)}</sup>.', 4)
+    head = f'<a class="concepts" href="{annotate.NOWHERE}" onclick="{annotate.SHOW}">'
+    assert got[1] == (f'Simple. We want <a class="concept" href="http://p.org/b">Banach\'s algebra</a> linked, also {head}Abelian groups</a><sup style="{annotate.HIDDEN}">{"".join(menu)}</sup>.', 4)
     assert got[2] == ("none", 0)
     assert 'property="http://purl.org/dc/terms/relation" href="http://p.org/b"' in annotated(spark, annotation="HTML+RDFa")[1][0]
     assert annotated(spark, annotation="xml")[1][0] == BODY
