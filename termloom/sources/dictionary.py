@@ -8,17 +8,16 @@ from termloom.functions.classes import CODES
 from termloom.functions.text import PIECE, WORD, normal_word
 from termloom.operators.discover import stop_filter
 
-WORDS = 12  # words of an item that begin concepts
+WORDS = 12  # words of an item at which the SQL begins concepts; the code begins them at all
 DOMAINS = ("alpha", "beta", "gamma")
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts of 1 to 3 normalised words that begin at one of an item's first words and aren't split by marks; the first no stop
-    word. Numbered by length and name; every fifth has a second link in the same domain, and every seventh one in another."""
+    """Concepts of 1 to 3 normalised words that begin at any word of an item and aren't split by marks; the first no stop word. Numbered by length and name; every fifth has a second link in the same domain, and every seventh one in another."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     parts = items.select("item_id", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)).alias("p"))
     parts = parts.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: F.element_at("p", i).rlike(f"^{WORD}$")))
-    one = parts.select("item_id", "p", F.explode(F.slice("at", 1, WORDS)).alias("i"))
+    one = parts.select("item_id", "p", F.explode("at").alias("i"))
     piece = lambda k: F.get("p", F.col("i") + (k - 1))
     blank = lambda k: piece(k).rlike(r"^\s+$")
     one = one.select("item_id", piece(0).alias("word"), normal_word(piece(0)).alias("w1"), F.when(blank(1), normal_word(piece(2))).alias("w2"), F.when(blank(1) & blank(3), normal_word(piece(4))).alias("w3"))
