@@ -101,16 +101,28 @@ def _page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _kb(spark: SparkSession, sf: str) -> kb.KnowledgeBase:
-    """Benchmark items as objects, the dictionary as concepts, and as edges all distinct pairs of a document's number, where it is an
-    item's, and a concept it holds."""
-    items = _read(spark, sf, "benchmark").select(F.col("item_id").alias("objectid"), F.concat(F.lit("example.org/"), F.col("item_id")).alias("url"))
-    objects = items.select("objectid", "url", F.lit("alpha").alias("domain"), F.lit(None).cast("timestamp").alias("modified"))
-    concepts = _dict(spark, sf)
-    own = _docs(spark, sf).join(items.select(F.col("objectid").alias("doc_id")), "doc_id", "left_semi")
-    m = discover.merged(discover.greedy(discover.longest(discover.candidates(segment.text_runs(own), concepts))))
-    m = discover.first_occurrences(m)
-    edges = discover.edges(m, objects.select("objectid", F.col("objectid").alias("doc_id")))
-    return kb.KnowledgeBase(objects, concepts, edges)
+    """Benchmark items and all documents as objects (one if their numbers are equal), the dictionary as concepts, and as edges all
+    distinct pairs of a document and a concept it holds."""
+    ids = _items(spark, sf).select("objectid").union(_docs(spark, sf).select("doc_id")).dropna().distinct()
+    objects = _objects(ids)
+    edges = discover.edges(_matches(spark, sf), objects.select("objectid", F.col("objectid").alias("doc_id")))
+    return kb.KnowledgeBase(objects, _dict(spark, sf), edges)
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return _objects(_read(spark, sf, "benchmark").select(F.col("item_id").alias("objectid")))
+
+
+def _objects(ids: DataFrame) -> DataFrame:
+    return ids.select("objectid", F.concat(F.lit("example.org/"), F.col("objectid")).alias("url"), F.lit("alpha").alias("domain"), F.lit(None).cast("timestamp").alias("modified"))
+
+
+def _snapshots(spark: SparkSession, sf: str) -> kb.KnowledgeBase:
+    """The base merged with the part of it of the domain beta, each with its edges."""
+    base = _kb(spark, sf)
+    objects, concepts = base.objects.filter("objectid % 2 = 1"), base.concepts.filter("domain = 'beta' and objectid % 2 = 1")
+    links = base.links.join(objects, "objectid", "left_semi").join(concepts, "conceptid", "left_semi").select("objectid", "conceptid")
+    return kb.merge([base, kb.KnowledgeBase(objects, concepts, links)])
 
 
 # queries
@@ -243,7 +255,8 @@ def harvest_unchanged(spark: SparkSession, sf: str) -> DataFrame:
 
 def upsert_objects(spark: SparkSession, sf: str) -> DataFrame:
     rows = _pages(spark, sf).select("url", F.lit(PAGE_DOMAIN).alias("domain"))
-    return kb.add_objects(_kb(spark, sf), rows).objects.select("objectid", "url", "domain")
+    items = kb.KnowledgeBase(_items(spark, sf), _dict(spark, sf), spark.createDataFrame([], kb.LINKS))
+    return kb.add_objects(items, rows).objects.select("objectid", "url", "domain")
 
 
 def upsert_concepts(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,9 +287,7 @@ def invalidate_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 def merge_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """The base merged with the part of it of the domain beta; concepts with their new objects' urls."""
-    base = _kb(spark, sf)
-    other = kb.KnowledgeBase(base.objects.filter("objectid % 2 = 1"), base.concepts.filter("domain = 'beta' and objectid % 2 = 1"), base.links.limit(0))
-    m = kb.merge([base, other])
+    m = _snapshots(spark, sf)
     return m.concepts.select("conceptid", "firstword", "tailwords", "category", "domain", "link", "objectid").join(m.objects.select("objectid", "url"), "objectid")
 
 
