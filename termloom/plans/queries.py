@@ -64,29 +64,26 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url", "html")
 
 
-def _page_harvest(pages: DataFrame) -> DataFrame:
-    """The h1 as concept, bold texts as synonyms, the html element's language as category."""
+def _page_harvest(pages: DataFrame, tag: str = "b") -> DataFrame:
+    """The h1 as concept, bold texts (or those of another tag) as synonyms, the html element's language as category."""
     title = F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1)
-    bold = F.slice(F.regexp_extract_all("html", F.lit(r"<b>([^<]*)<"), F.lit(1)), 1, 3)
+    bold = F.regexp_extract_all("html", F.lit(rf"<{tag}>([^<]*)<"), F.lit(1))
     lang = F.regexp_extract("html", r'<html lang="([a-z]+)"', 1)
     trim = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}_+' -]", ""))
     return pages.select(F.col("url").alias("page"), trim(title).alias("concept"), t.canonical_url(F.col("url")).alias("url"), F.lit("msc").alias("scheme"), F.array(F.concat(lang, F.lit("-XX"))).alias("categories"), F.transform(bold, trim).alias("synonyms"))
 
 
-def _flat_harvest(spark: SparkSession, sf: str, even: bool | None = None) -> DataFrame:
-    """All pages, or a revision in which pages of even or odd number are left out."""
-    p = _pages(spark, sf)
-    if even is not None:
-        p = p.filter((F.col("doc_id") % 2 == 0) if even else (F.col("doc_id") % 3 > 0))
-    return harvest.admissible_rows(harvest.flatten(_page_harvest(p)))
+def _flat_harvest(spark: SparkSession, sf: str, tag: str = "b") -> DataFrame:
+    return harvest.admissible_rows(harvest.flatten(_page_harvest(_pages(spark, sf), tag)))
 
 
 def _old(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat_harvest(spark, sf, True).select("concept", "category").distinct()
+    """An earlier revision of all pages, whose synonyms were the texts of links."""
+    return _flat_harvest(spark, sf, 'a href="[^"]*"').select("concept", "category").distinct()
 
 
 def _new(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat_harvest(spark, sf, False).select("concept", "category", F.col("url").alias("link")).distinct()
+    return _flat_harvest(spark, sf).select("concept", "category", F.col("url").alias("link")).distinct()
 
 
 def _page_links(spark: SparkSession, sf: str) -> DataFrame:
