@@ -17,6 +17,11 @@ LEAST = 12  # characters of a candidate
 AROUND = 256  # characters on each side that prime the compressor, besides the dictionary
 MARGINAL = 8  # least marginal bytes
 NOVELTY = 0.5  # least marginal bytes for each character
+# a value that is assigned after a sensitive word: quoted, or up to a blank, quote, <, > or the next parameter of a URL
+ASSIGNED = re.compile(r"""[\w.\]-]{0,24}["']?\s*(?:=>|:=|=|:)\s*(?:"([^"\s]+)"|'([^'\s]+)'|((?:(?!&\w+=)[^\s"'<>])+))""")
+SHORT = 8  # characters of an assigned value, if not all are letters
+ASSIGNED_NOVELTY = 0.8  # least marginal bytes for each of its characters; random ones take 0.85 and more in any alphabet
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+?)\s*-----END")
 SCHEMA = "doc_id long, offset_begin int, offset_end int, context string, n_chars int, marginal_bytes int, novelty double"
 
 IDENTIFIERS = (
@@ -45,9 +50,32 @@ def scanner(identifiers: str = IDENTIFIERS):  # noqa: ANN201
 
     def scan(text: str) -> list[tuple[int, int, str, int, float]]:
         out, done = [], -1
+
+        def report(begin: int, end: int, word: str, least: float) -> None:
+            nonlocal done
+            value = text[begin:end]
+            before, after = text[max(0, begin - AROUND) : begin], text[end : end + AROUND]
+            around = (after + before).replace(value, "").encode("utf-8", "replace")  # a secret doesn't vouch for itself
+            marginal = len(primed.compress(around + value.encode("utf-8", "replace"))) - len(primed.compress(around))
+            novelty = marginal / len(value)
+            if marginal >= MARGINAL and novelty >= least:
+                out.append((begin, end, word.lower(), marginal, novelty))
+                done = end
+
+        for block in PEM.finditer(text):
+            report(*block.span(1), "private key", NOVELTY)
+        blocks, done = [(b, e) for b, e, *_ in out], -1
         for word in context.finditer(text):
             line = text.find("\n", word.end())
             limit = len(text) if line < 0 else line
+            if m := ASSIGNED.match(text, word.end()):
+                begin, end = m.span(m.lastindex)
+                if m.lastindex == 3:
+                    end = begin + len(text[begin:end].rstrip(",;)]}."))
+                value = text[begin:end]
+                odd = m.lastindex < 3 or not value.isalpha() or not (value.islower() or value[1:].islower())  # prose may follow a colon
+                if begin >= done and len(value) >= (LEAST if value.isalpha() else SHORT) and odd and not any(b < end and begin < e for b, e in blocks):
+                    report(begin, end, word.group(), ASSIGNED_NOVELTY)
             for m in run.finditer(text, word.end(), limit):
                 # "password=x" is one run for the pattern: an assignment mark parts it
                 begin = m.start() + re.match(r"[=_.~/+-]*", m.group()).end()
@@ -57,13 +85,8 @@ def scanner(identifiers: str = IDENTIFIERS):  # noqa: ANN201
                 value = text[begin:end]
                 if begin < done or len(value) < LEAST or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                     continue
-                before, after = text[max(0, begin - AROUND) : begin], text[end : end + AROUND]
-                around = (after + before).replace(value, "").encode("utf-8", "replace")  # a secret doesn't vouch for itself
-                marginal = len(primed.compress(around + value.encode())) - len(primed.compress(around))
-                novelty = marginal / len(value)
-                if marginal >= MARGINAL and novelty >= NOVELTY:
-                    out.append((begin, end, word.group().lower(), marginal, novelty))
-                    done = end
+                if not any(b < end and begin < e for b, e in blocks):
+                    report(begin, end, word.group(), NOVELTY)
         return out
 
     return scan
@@ -72,7 +95,8 @@ def scanner(identifiers: str = IDENTIFIERS):  # noqa: ANN201
 def find(docs: DataFrame, identifiers: str = IDENTIFIERS) -> DataFrame:
     """One row for each secret of each row of docs, at character offsets [offset_begin, offset_end) of its text.
 
-    A candidate is a run of at least LEAST letters, digits and +/_=.~- with a digit and a letter, on the same line as and at
+    A candidate is a value of at least SHORT characters of any kind that is assigned (=, :) to a sensitive word, on the next line at
+    the farthest; it takes ASSIGNED_NOVELTY. So is the body of a PEM block of a private key. Another candidate is a run of at least LEAST letters, digits and +/_=.~- with a digit and a letter, on the same line as and at
     most AHEAD characters after a sensitive word. It is reported if adding it to the text around it (AROUND characters on
     both sides) costs the compressor, primed with the identifier dictionary, at least MARGINAL bytes and NOVELTY bytes
     for each character: sequences, placeholders and variants of what stands close by are cheap and aren't reported. A
@@ -85,7 +109,7 @@ def find(docs: DataFrame, identifiers: str = IDENTIFIERS) -> DataFrame:
     def scan_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(identifiers)
         for batch in batches:
-            maybe = batch.filter(pc.fill_null(pc.match_substring_regex(batch.column("text"), WORDS, ignore_case=True), False))
+            maybe = batch.filter(pc.fill_null(pc.match_substring_regex(batch.column("text"), WORDS + "|PRIVATE KEY-----", ignore_case=True), False))
             rows = [(d, *x) for d, text in zip(maybe.column("doc_id").to_pylist(), maybe.column("text").to_pylist()) for x in scan(text)]
             if rows:
                 d, b, e, c, m, n = zip(*rows)
