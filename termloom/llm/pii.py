@@ -34,14 +34,18 @@ _WORD = "|".join(sorted(_DIGIT, key=len, reverse=True))
 
 TRIGGER = (  # any text with an identifier, disguised or not, has one of these
     r"[0-9]|@|[\[({<]\s*(?:at|arroba|dot|punkt|punto|point)\s*[\])}>]|\b(?:dot|punkt|punto)\b"
-    rf"|\b(?:{_WORD})[\s,-]+(?:{_WORD})[\s,-]+(?:{_WORD})\b|[Ͱ-ӿ！-～‐-—٠-٩۰-۹०-९]|[\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}\x{{ad}}]"
+    rf"|\b(?:{_WORD})[\s,-]+(?:{_WORD})[\s,-]+(?:{_WORD})\b|\b(?:at|arroba)\s+[a-z0-9-]+\.[a-z0-9-]|[Ͱ-ӿ{"".join(c for c in _ALIKE if not c.isascii())}]|[\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}\x{{ad}}]"
 )
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])")
 CARD = re.compile(r"(?<![\d.])(?:\d[ -]?){12,18}\d(?!\d)")
 SSN = re.compile(r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")
-PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{3,4}[ .-]?\d{3,4}(?:[ .-]?\d{2,4})?(?![\w]|\.\d)")
+_DATE = r"\d{1,2}([ ./-])\d{1,2}\1(?:\d\d){1,2}(?![ ./-]?\d)"
+PHONE = re.compile(  # + and a country's digits; a leading 0; or groups of 3 and 4 digits
+    rf"(?<![\w.+])(?:\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ ./-]?\d){{4,12}}|(?!{_DATE})\(?0\d{{1,4}}\)?(?:[ ./-]?\d\d){{3,6}}\d?"
+    r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{3,4}[ .-]?\d{3,4}(?:[ .-]?\d{2,4})?)(?![\w]|\.\d)"
+)
 KINDS = (("email", EMAIL), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE))
 
 _DIGITS = re.compile(rf"(?i)(?<!\w)(?:(?:{_WORD}|\d)[\s,-]+){{3,}}(?:{_WORD}|\d)(?!\w)")
@@ -49,6 +53,7 @@ _ONE = re.compile(rf"(?i)({_WORD}|\d)|[\s,-]+")
 _BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*")
 _BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*")
 _SPOKEN = re.compile(r"(?i)(?<![\w.])([a-z0-9][a-z0-9._%+-]*?(?:\s+dot\s+[a-z0-9_%+-]+)*)(\s+(?:at|arroba)\s+|\s*@\s*)([a-z0-9-]+(?:(?:\s+(?:dot|punkt|punto)\s+|\.)[a-z0-9-]+)+)(?![\w])")
+_PLAIN_HOST = re.compile(r"(?!www\.)[A-Za-z0-9.-]+\.[a-z]{2,6}$")
 _SPOKEN_DOT = re.compile(r"(?i)\s+(?:dot|punkt|punto)\s+")
 
 
@@ -94,7 +99,7 @@ def normalise(text: str) -> Mapped:
             continue
         if x.group(2).strip() != "@" and not _SPOKEN_DOT.search(x.group(3)) and "." not in x.group(3):
             continue
-        if x.group(2).strip() != "@" and not _SPOKEN_DOT.search(x.group(3)):
+        if x.group(2).strip() != "@" and not _SPOKEN_DOT.search(x.group(3)) and not _PLAIN_HOST.match(x.group(3)):
             continue  # "look at www.example.com" is no address
         for part in (1, 2, 3):
             a, b = x.span(part)
