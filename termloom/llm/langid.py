@@ -20,7 +20,6 @@ SMOOTH = 0.5  # weight of the uniform distribution in each context
 NONE_LOGP = float(np.log(1 / 48))  # log-probability of a byte that no language explains
 EM_STEPS = 12
 PENALTY = 3.0  # times log(words + 1), for each language of the set
-MIN_SHARE = 0.02  # languages of smaller shares are dropped first
 MAX_NONE = 0.7  # share of words that no language explains beyond which a document is rejected
 
 
@@ -129,12 +128,11 @@ def mixtures(ll: np.ndarray, at: np.ndarray, steps: int = EM_STEPS) -> tuple[np.
     while len(rows):  # at most k rounds: each drops one component of every document still open
         p, top, first, m = _part(ll, at, rows)
         use = chosen[:, rows].copy()
-        small = np.where(use, shares[:, rows], 9).min(0) < MIN_SHARE
         if tried:
             use[np.where(use, shares[:, rows], 9).argmin(0), np.arange(len(rows))] = False
         pi, mixed = _em(p, first, m, use, steps)
         new = np.add.reduceat(np.log(mixed) + top, first, dtype=np.float64) - PENALTY * np.log(m + 1) * use.sum(0)
-        better = (new >= score[rows]) | small
+        better = new >= score[rows]
         took = rows[better]
         chosen[:, took], shares[:, took], score[took] = use[:, better], pi[:, better], new[better]
         rows = took[chosen[:, took].sum(0) > 1]
