@@ -11,6 +11,8 @@ from termloom.llm import _vec
 from termloom.llm._io import cut
 
 COSINE = 0.6  # least cosine of a line with a template
+SLOTS = 1 << 18  # hashed words whose document frequencies are counted
+SMOOTH = 0.001  # share of documents added to a word's own, so that weights of rare words don't grow with the table
 FILE_SHARE = 0.9  # share of a text's words in licence lines from which it is a licence file of its directory
 FILE_NAMES = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)[^/]*$"  # or by its name
 
@@ -58,34 +60,37 @@ def _slots(h: np.ndarray, names: np.ndarray) -> np.ndarray:
     return out
 
 
-def idf(texts: DataFrame, templates: tuple = TEMPLATES) -> tuple[np.ndarray, float]:
-    """log((1 + documents) / (1 + documents with the word)) of each template word, over all texts, and that of unseen words."""
-    names, _, _ = _vocabulary(templates)
+def _hashed(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def idf(texts: DataFrame) -> np.ndarray:
+    """log(1 + 1 / (share of the texts with the word + SMOOTH)) of each hashed word. Shares decide, so the weights of a table and
+    of many such tables together are the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, df, n = _vec.tables(), np.zeros(len(names), np.int64), 0
+        t, df, n = _vec.tables(), np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             for lo, hi in _vec.pieces(batch.column("text")):
                 h, at = _vec.words(batch.column("text").slice(lo, hi - lo), t)
-                k = _slots(h, names)
-                hit = np.flatnonzero(k >= 0)
-                key = np.unique((np.searchsorted(at, hit, side="right") - 1) * len(names) + k[hit])
-                df += np.bincount(key % len(names), minlength=len(names))
+                key = np.unique(np.repeat(np.arange(hi - lo), np.diff(at)) * SLOTS + _hashed(h))
+                df += np.bincount(key % SLOTS, minlength=SLOTS)
                 n += hi - lo
-        yield pa.RecordBatch.from_pydict({"k": np.arange(-1, len(names), dtype=np.int32), "n": np.concatenate([[n], df])})
+        k = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"k": np.concatenate([[-1], k]).astype(np.int32), "n": np.concatenate([[n], df[k]])})
 
-    rows = texts.select("text").mapInArrow(_vec.lean(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(1 + len(names))
-    for r in rows:
-        n[r.k + 1] = r.n
-    return np.log((2 + n[0]) / (1 + n[1:])), float(np.log(2 + n[0]))
+    rows = texts.select("text").mapInArrow(_vec.lean(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 + SLOTS)
+    n[rows["k"].to_numpy() + 1] = rows["n"].to_numpy()
+    return np.log(1 + 1 / (n[1:] / max(n[0], 1) + SMOOTH))
 
 
 def own_licenses(texts: DataFrame, templates: tuple = TEMPLATES, cosine: float = COSINE) -> DataFrame:
     """(path, own, cosine, line, share) for each row of texts (path, text): the licence of the line that is nearest to a
     template (the first of equal ones), the line's number from 0, and the share of the text's words in licence lines."""
-    weight, unseen = idf(texts, templates)
+    weights = texts.sparkSession.sparkContext.broadcast(idf(texts))
     names, tf, _ = _vocabulary(templates)
+    weight = weights.value[_hashed(names)]
     model = tf * weight[:, None]
     model /= np.maximum(np.linalg.norm(model, axis=0), 1e-12)
     labels = [x[0] for x in templates]
@@ -110,14 +115,13 @@ def own_licenses(texts: DataFrame, templates: tuple = TEMPLATES, cosine: float =
                     uniq, where = np.unique(line[hit], return_inverse=True)
                     dot = np.stack([np.bincount(where, weights=weight[k[hit]] * model[k[hit], c]) for c in range(len(labels))], 1)
                     first, last = np.searchsorted(line, uniq), np.searchsorted(line, uniq, side="right")
-                    known = np.bincount(where, weights=weight[k[hit]] ** 2)
-                    norm = np.sqrt(known + (last - first - np.bincount(where)) * unseen**2)
+                    total = np.concatenate([[0], np.cumsum(weights.value[_hashed(h)] ** 2)])
+                    norm = np.sqrt(total[last] - total[first])
                     most = np.flatnonzero(dot.max(1) >= cosine * norm - 1e-9)
                     for u in most.tolist():
                         a, z = int(first[u]), int(last[u])
                         word, n = np.unique(h[a:z], return_counts=True)
-                        slot = _slots(word, names)
-                        w = np.where(slot >= 0, weight[slot], unseen) * n
+                        w = weights.value[_hashed(word)] * n
                         c = dot[u] / max(float(np.sqrt((w * w).sum())), 1e-12)
                         d = int(text[a])
                         if c.max() >= cosine:
