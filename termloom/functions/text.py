@@ -1,8 +1,9 @@
 """Morphology, URLs and names as Column functions."""
 
+import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTER = r"[\p{L}\p{M}\p{N}_]"
@@ -11,16 +12,31 @@ WORD = f"{LETTER}{INNER}*"
 PIECE = rf"(?:{WORD}|[^\p{{L}}\p{{M}}\p{{N}}_]+)"  # words and what lies between them, without loss
 PHRASE = rf"^{WORD}(?:\s+{WORD})*$"
 
-PLAIN_FROM = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēęěğīłńňőřśšťūůűźżž"
-PLAIN_TO = "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeegilnnorsstuuuzzz"
-PLAIN_LONG = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"))
+
+
+def _letters() -> tuple[str, str]:
+    """Lower-case letters of one plain letter, and that letter: Latin with marks by decomposition, Greek and Cyrillic by sound.
+    Combining marks come last, without a counterpart: they vanish."""
+    pairs = dict(zip("đħıłøŧαβγδεζηικλμνξοπρςστυφωабвгдезийклмнопрстуфыэіїўѕј", "dhilotabgdeziiklmnxoprsstufoabvgdeziiklmnoprstufyeiiusj"))
+    for c in map(chr, (*range(0xE0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000))):
+        base = unicodedata.normalize("NFKD", c)[0]
+        if c not in pairs and c == c.lower() and base != c and (base.isascii() and base.isalpha() or base in pairs):
+            pairs[c] = pairs.get(base, base)
+    marks = "".join(map(chr, range(0x300, 0x370))) + "ьъ"
+    return "".join(pairs) + marks, "".join(pairs.values())
+
+
+PLAIN_FROM, PLAIN_TO = _letters()
+PLAIN_LONG = (
+    ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ð", "d"), ("ŋ", "ng"), ("θ", "th"), ("χ", "ch"), ("ψ", "ps"),
+    ("ж", "zh"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"), ("ю", "iu"), ("я", "ia"), ("є", "ie"), ("ё", "io"),
+)
 
 # (end of the stem, ending taken off, ending put on); the first that fits counts
-SINGULAR_WORD = (
-    ("ri", "ces", "x"), ("t", "ices", "ex"), ("[aeiuo]x", "es", ""), ("", "ies", "y"), ("", "ees", "ee"), ("", "ches", "ch"),
-    ("", "sses", "ss"), ("ie", "s", ""), ("[^eiuos]", "s", ""), ("[^aeio]", "es", "e"), ("o", "ci", "cus"),
+SINGULAR_PHRASE = (
+    ("ri", "ces", "x"), ("t", "ices", "ex"), ("[aeiuo]x", "es", ""), ("", "ies", "y"), ("", "ees", "ee"), ("", "ches", "ch"), ("o", "ci", "cus"),
+    ("", "sses", "ss"), ("ie", "s", ""), ("[^eiuos]", "s", ""), ("[^aeio]", "es", "e"),
 )
-SINGULAR_PHRASE = (*SINGULAR_WORD[:6], SINGULAR_WORD[10], *SINGULAR_WORD[6:10])
 PLURAL = (
     ("ri", "x", "ces"), ("t", "ex", "ices"), ("[aeiuo]", "x", "xes"), ("[^aeiou]", "y", "ies"), ("", "ee", "ees"),
     ("", "us", "i"), ("", "ch", "ches"), ("", "ss", "sses"), ("", "", "s"),
@@ -48,11 +64,11 @@ def _rules(c: Column, rules: tuple) -> Column:
 
 
 def plain(c: Column) -> Column:
-    """Lower case without diacritics."""
-    c = F.translate(F.lower(c), PLAIN_FROM, PLAIN_TO)
+    """Lower case, transliterated to ASCII where a letter has a plain form; ASCII texts are only lowered."""
+    out = F.translate(F.lower(c), PLAIN_FROM, PLAIN_TO)
     for a, b in PLAIN_LONG:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(out)
 
 
 def is_possessive(c: Column) -> Column:
@@ -70,8 +86,12 @@ def possessive(c: Column) -> Column:
 
 
 def singular_word(c: Column) -> Column:
-    # most words end otherwise and stay within generated code
-    return F.when(c.rlike("oci|s$"), _rules(c, SINGULAR_WORD)).otherwise(c)
+    """c should be a column that is computed already: it is used often. The rules that only take something off are one pattern;
+    words of other endings, which are most, meet no pattern at all."""
+    put = lambda off, on: F.regexp_replace(c, f"{off}$", on)
+    taken = F.regexp_replace(c, "^(?:(.+(?:[aeiuo]x|ch|ss))es|(.+(?:ee|[^eiuos]|[^aeio]e))s)$", "$1$2")
+    altered = F.when(c.rlike("^.+rices$"), put("ces", "x")).when(c.rlike("^.+tices$"), put("ices", "ex")).when(c.rlike("^.+ies$"), put("ies", "y")).otherwise(taken)
+    return F.when(c.endswith("s"), altered).when(c.endswith("oci") & (F.length(c) > 3), put("ci", "cus")).otherwise(c)
 
 
 def singular_phrase(c: Column) -> Column:
@@ -100,8 +120,22 @@ def undetermined(c: Column) -> Column:
     return F.regexp_replace(c, r"^(?:an?|the)(?:\s+|$)", "")
 
 
+def _bare(c: Column) -> Column:
+    """A plain word without possessive ending; determiners vanish."""
+    return F.when(c.isin("a", "an", "the"), F.lit("")).when(c.contains("'"), nonpossessive(c)).otherwise(c)
+
+
 def normal_word(c: Column) -> Column:
-    return singular_word(nonpossessive(undetermined(plain(c))))
+    return let(plain(c), lambda p: let(_bare(p), singular_word))
+
+
+def normalised(df: DataFrame, **words: str) -> DataFrame:
+    """df with a column for each of words (new column = column of single words), never null: normal_word() in steps that stay in
+    generated code. Don't filter on the new columns before a shuffle or a join: the filter would move down and repeat the steps."""
+    df = df.withColumns({f"_p_{new}": plain(F.col(old)) for new, old in words.items()})
+    df = df.withColumns({f"_q_{new}": _bare(F.col(f"_p_{new}")) for new in words})
+    df = df.withColumns({new: F.coalesce(singular_word(F.col(f"_q_{new}")), F.lit("")) for new in words})
+    return df.drop(*[f"_{k}_{new}" for k in "pq" for new in words])
 
 
 def normal_phrase(c: Column) -> Column:
@@ -127,11 +161,11 @@ def admissible(c: Column) -> Column:
 
 
 def canonical_url(c: Column) -> Column:
-    """Without protocol, "/./", "x/.." (eight deep), a leading "./" and "www."."""
-    c = F.regexp_replace(c, r"^https?://", "")
-    c = F.regexp_replace(c, r"/\./", "/")
-    for _ in range(8):
-        c = F.regexp_replace(c, r"^(.*?)/(?!\.\./)[^/]+/\.\.(/|$)", "$1$2")
+    """Without protocol, "/./", "x/..", a leading "./" and "www."."""
+    c = F.regexp_replace(F.regexp_replace(c, r"^https?://", ""), r"/\./", "/")
+    ups = F.regexp_count(c, F.lit(r"/\.\.(?=/|$)"))
+    up = lambda x, _: F.regexp_replace(x, r"^(.*?)/(?!\.\./)[^/]+/\.\.(/|$)", "$1$2")
+    c = F.when(ups > 0, F.aggregate(F.sequence(F.lit(1), ups), c, up)).otherwise(c)
     return F.regexp_replace(F.regexp_replace(c, r"^\./", ""), r"^www.", "")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termloom.functions.classes import SHORTEST, class_index, log_matrix
+from termloom.operators.segment import doc_keys
 
 
 def eligible(matches: DataFrame) -> DataFrame:
@@ -18,18 +19,18 @@ def eligible(matches: DataFrame) -> DataFrame:
 
 def distinct_links(matches: DataFrame) -> DataFrame:
     """Within a document and class, the first match of each link; matches without a link all stay."""
-    w = Window.partitionBy("doc_id", "msc_index", "link").orderBy("offset_begin", "conceptid")
+    w = Window.partitionBy(*doc_keys(matches), "msc_index", "link").orderBy("offset_begin", "conceptid")
     return matches.withColumn("rn", F.row_number().over(w)).filter("rn = 1 or link is null or link = ''").drop("rn")
 
 
 def weights(matches: DataFrame) -> DataFrame:
     """(doc_id, msc_index, weight, size): the characters beyond SHORTEST of a class's matches, and their number."""
-    return matches.groupBy("doc_id", "msc_index").agg(F.sum(F.length("concept") - SHORTEST).cast("long").alias("weight"), F.count("*").alias("size"))
+    return matches.groupBy(*doc_keys(matches), "msc_index").agg(F.sum(F.length("concept") - SHORTEST).cast("long").alias("weight"), F.count("*").alias("size"))
 
 
 def ranking(weights_: DataFrame) -> DataFrame:
     """weights with place: by weight as a string, descending (9 before 12), ties by class."""
-    w = Window.partitionBy("doc_id").orderBy(F.col("weight").cast("string").desc(), "msc_index")
+    w = Window.partitionBy(*doc_keys(weights_)).orderBy(F.col("weight").cast("string").desc(), "msc_index")
     return weights_.withColumn("place", F.row_number().over(w))
 
 
@@ -69,17 +70,18 @@ def best_clique(queue: list[tuple[int, float, int]], logs: list[list[float]]) ->
 
 
 def disambiguate(matches: DataFrame, include_all: bool = False) -> DataFrame:
-    """The eligible matches whose class is in the best clique of their document, in order of offset; all if include_all.
+    """The eligible matches whose class is in the best clique of their document, in order of offset within a document; all if include_all.
 
     A document's matches are gathered once, by doc_id; the search sees one row of numbers for each class, at most 63.
     """
     if include_all:
         return matches
     own = distinct_links(eligible(matches))
-    names = [c for c in matches.columns if c != "doc_id"]
-    per = own.groupBy("doc_id", "msc_index").agg(F.sum(F.length("concept") - SHORTEST).cast("long").alias("weight"), F.count("*").alias("size"), F.collect_list(F.struct(*names)).alias("rows"))
+    keys = doc_keys(matches)
+    names = ["offset_begin", *[c for c in matches.columns if c not in (*keys, "offset_begin")]]
+    per = own.groupBy(*keys, "msc_index").agg(F.sum(F.length("concept") - SHORTEST).cast("long").alias("weight"), F.count("*").alias("size"), F.collect_list(F.struct(*names)).alias("rows"))
     order = F.struct("weight", "size", "msc_index", "rows")
-    docs = per.groupBy("doc_id").agg(F.collect_list(order).alias("classes"))
+    docs = per.groupBy(*keys).agg(F.collect_list(order).alias("classes"))
     logs = log_matrix()
 
     @F.pandas_udf("array<int>")
@@ -94,5 +96,6 @@ def disambiguate(matches: DataFrame, include_all: bool = False) -> DataFrame:
 
     part = lambda f: F.transform("classes", lambda c: c[f])
     won = docs.withColumn("won", clique(part("msc_index"), part("weight"), part("size")))
-    kept = won.select("doc_id", F.explode(F.filter("classes", lambda c: F.array_contains("won", c["msc_index"]))).alias("c"))
-    return kept.select("doc_id", F.explode("c.rows").alias("r")).select("doc_id", "r.*").select(*matches.columns)
+    kept = F.filter("classes", lambda c: F.array_contains("won", c["msc_index"]))  # at most 63 classes
+    rows = F.array_sort(F.flatten(F.transform(kept, lambda c: c["rows"])))
+    return won.select(*keys, F.inline(rows)).select(*matches.columns)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import admissible, concept_of, normal_phrase
 from termloom.operators import kb as base
+from termloom.operators.scratch import cut
 
 KEY = ["concept", "category"]
 
@@ -42,9 +43,9 @@ def reindex(kb: base.KnowledgeBase, pages: DataFrame, harvest: DataFrame, domain
     Per page and (concept, category): rows no longer there are deleted and invalidate what links them, new ones are added,
     others keep their ids, on which edges rest. A new concept invalidates nothing.
     """
-    kb = base.add_objects(kb, pages.select("url", F.lit(domain).alias("domain")))
+    kb = base.settled(base.add_objects(kb, pages.select("url", F.lit(domain).alias("domain"))))
     ids = kb.objects.join(pages.select("url").distinct(), "url", "left_semi").select(F.col("url").alias("page"), "objectid")
-    new = admissible_rows(flatten(harvest)).join(ids, "page").withColumn("domain", F.lit(domain)).withColumnRenamed("url", "link")
+    new = cut(admissible_rows(flatten(harvest)).join(ids, "page").withColumn("domain", F.lit(domain)).withColumnRenamed("url", "link"))
     mine = kb.concepts.join(ids.select("objectid"), "objectid", "left_semi").withColumn("concept", concept_of(F.col("firstword"), F.col("tailwords")))
     keys = [*KEY, "objectid"]
     gone = to_delete(mine, new, keys)
@@ -54,7 +55,7 @@ def reindex(kb: base.KnowledgeBase, pages: DataFrame, harvest: DataFrame, domain
         new = new.withColumn("scheme", F.lit(None).cast("string"))
     added = base.add_concepts(base.KnowledgeBase(kb2.objects, kb.concepts, kb2.links), to_add(mine, new, keys))
     fresh = added.concepts.join(kb.concepts.select("conceptid"), "conceptid", "left_anti")
-    return base.KnowledgeBase(kb2.objects, kb2.concepts.unionByName(fresh.select(*kb2.concepts.columns)), kb2.links), again
+    return base.settled(base.KnowledgeBase(kb2.objects, kb2.concepts.unionByName(fresh.select(*kb2.concepts.columns)), kb2.links)), cut(again)
 
 
 def skip_known_leaves(kb: base.KnowledgeBase, pages: DataFrame) -> DataFrame:

@@ -12,19 +12,29 @@ from termloom.sources import dictionary
 
 MATCH = ("doc_id", "offset_begin", "offset_end", "conceptid", "concept", "category", "domain", "link")
 PAGE_DOMAIN = "pages"
+_DICTIONARIES: dict[tuple[str, str], DataFrame] = {}
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than cores is dealt out first: all work on a text is within its row, and nothing else would part it."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", "text")
+    return _spread(_read(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _dict(spark: SparkSession, sf: str) -> DataFrame:
     """The dictionary, which has a row for each phrase of the small benchmark table, is kept while the session uses it."""
-    return dictionary.concepts(spark, sf).cache()
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _DICTIONARIES:
+        _DICTIONARIES[at] = dictionary.concepts(spark, sf).cache()
+    return _DICTIONARIES[at]
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,18 +46,22 @@ def _words(spark: SparkSession, sf: str) -> DataFrame:
     return segment.words(_runs(spark, sf)).select("word").distinct()
 
 
-def _longest(spark: SparkSession, sf: str) -> DataFrame:
-    return discover.longest(discover.candidates(_runs(spark, sf), _dict(spark, sf)))
+def _spans(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.spans(_runs(spark, sf), _dict(spark, sf))
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
-    return discover.merged(discover.greedy(_longest(spark, sf)))
+    return discover.with_concepts(discover.greedy(_spans(spark, sf)), discover.merged(_dict(spark, sf)))
 
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     return discover.first_occurrences(_merged(spark, sf))
 
 
+def _weights(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.weights(classify.distinct_links(classify.eligible(_matches(spark, sf))))
+
+
 def _flat(m: DataFrame) -> DataFrame:
     return m.select(*MATCH, F.coalesce(F.array_join("multilinks", ","), F.lit("")).alias("multilinks"))
 
@@ -61,7 +75,7 @@ def _urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url", "html")
+    return _spread(_read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url", "html"))
 
 
 def _page_harvest(pages: DataFrame, tag: str = "b") -> DataFrame:
@@ -115,18 +129,18 @@ def _objects(ids: DataFrame) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf: str) -> kb.KnowledgeBase:
-    """The base merged with the part of it of the domain beta, each with its edges."""
+    """The base merged with a second one of all objects and the concepts of the domain beta, with the edges to these."""
     base = _kb(spark, sf)
-    objects, concepts = base.objects.filter("objectid % 2 = 1"), base.concepts.filter("domain = 'beta' and objectid % 2 = 1")
-    links = base.links.join(objects, "objectid", "left_semi").join(concepts, "conceptid", "left_semi").select("objectid", "conceptid")
-    return kb.merge([base, kb.KnowledgeBase(objects, concepts, links)])
+    concepts = base.concepts.filter("domain = 'beta'")
+    links = base.links.join(concepts, "conceptid", "left_semi").select("objectid", "conceptid")
+    return kb.merge([base, kb.KnowledgeBase(base.objects, concepts, links)])
 
 
 # queries
 
 
 def tokenize_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    return segment.words(_runs(spark, sf))
+    return segment.words(_runs(spark, sf)).drop("key")
 
 
 def normalize_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,7 +180,7 @@ def firstword_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def admissible_names(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.explode(F.split("text", "\n"))
+    line = F.explode(F.split("text", "[.!?\\n]+ *"))
     return _read(spark, sf, "conversations").select("conv_id", "turn", line.alias("name")).filter(t.admissible(F.col("name")))
 
 
@@ -189,11 +203,11 @@ def stopword_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def phrase_longest_match(spark: SparkSession, sf: str) -> DataFrame:
-    return _longest(spark, sf).select(*MATCH, "n_words")
+    return discover.with_concepts(discover.longest(_spans(spark, sf)), _dict(spark, sf)).select(*MATCH, "n_words")
 
 
 def link_spans_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    return discover.greedy(_longest(spark, sf)).select(*MATCH)
+    return discover.with_concepts(discover.greedy(_spans(spark, sf)), _dict(spark, sf)).select(*MATCH)
 
 
 def multilink_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,16 +231,16 @@ def html_skip_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_text_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return segment.html_runs(_pages(spark, sf))
+    return segment.html_runs(_pages(spark, sf)).drop("key")
 
 
 def html_text_length(spark: SparkSession, sf: str) -> DataFrame:
-    return segment.text_length(segment.html_runs(_pages(spark, sf)))
+    return segment.text_length(_pages(spark, sf))
 
 
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
     runs = segment.html_runs(_pages(spark, sf))
-    return discover.greedy(discover.longest(discover.candidates(runs, _dict(spark, sf)))).select(*MATCH)
+    return discover.with_concepts(discover.greedy(discover.spans(runs, _dict(spark, sf))), _dict(spark, sf)).select(*MATCH)
 
 
 def harvest_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,8 +276,9 @@ def upsert_concepts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def delete_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    base = _kb(spark, sf)
-    gone = base.concepts.filter("objectid % 2 = 0").select(t.concept_of(F.col("firstword"), F.col("tailwords")).alias("concept"), "category", "objectid")
+    """All concepts of a domain go."""
+    base = kb.KnowledgeBase(_items(spark, sf), _dict(spark, sf), spark.createDataFrame([], kb.LINKS))
+    gone = base.concepts.filter("domain = 'beta'").select(t.concept_of(F.col("firstword"), F.col("tailwords")).alias("concept"), "category", "objectid", "domain")
     return kb.delete_concepts(base, gone).concepts
 
 
@@ -272,22 +287,42 @@ def links_cache_build(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def links_cache_flush(spark: SparkSession, sf: str) -> DataFrame:
+    """The objects of English documents are linked again, without the concepts of a domain."""
     base = _kb(spark, sf)
-    mine = base.objects.filter("objectid % 3 = 0")
-    return kb.relink(base, base.links.join(mine, "objectid", "left_semi").filter("conceptid % 2 = 0"), mine).links
+    mine = _read(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("objectid"))
+    again = base.links.join(mine, "objectid", "left_semi").join(base.concepts.filter("domain <> 'gamma'"), "conceptid", "left_semi")
+    return kb.relink(base, again, mine).links
 
 
 def invalidate_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """All concepts of a domain change."""
+    base = _kb(spark, sf)
+    return kb.invalidated(base, base.concepts.filter("domain = 'beta'"))
+
+
+def links_of_concept(spark: SparkSession, sf: str) -> DataFrame:
     base = _kb(spark, sf)
-    return kb.invalidated(base, base.concepts.filter("objectid % 2 = 0"))
+    base.links = base.links.cache()
+    return kb.adjacent(base, conceptid=base.links.agg(F.min("conceptid")).first()[0])
 
 
 def merge_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """The base merged with the part of it of the domain beta; concepts with their new objects' urls."""
+    """Two bases as one; concepts with their new objects' urls."""
     m = _snapshots(spark, sf)
     return m.concepts.select("conceptid", "firstword", "tailwords", "category", "domain", "link", "objectid").join(m.objects.select("objectid", "url"), "objectid")
 
 
+def merge_snapshot_links(spark: SparkSession, sf: str) -> DataFrame:
+    return _snapshots(spark, sf).links
+
+
+def refresh_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects that a second pass over the documents' urls meets again get a new time of change."""
+    base = kb.KnowledgeBase(_items(spark, sf), _dict(spark, sf), spark.createDataFrame([], kb.LINKS))
+    urls = _docs(spark, sf).select(F.concat(F.lit("example.org/"), F.col("doc_id")).alias("url"))
+    return kb.touched(base, urls).objects.select("objectid", "url", F.col("modified").isNotNull().alias("refreshed"))
+
+
 def msc_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
     c = _dict(spark, sf).select("category").distinct()
     pairs = c.withColumnRenamed("category", "category1").crossJoin(F.broadcast(c.withColumnRenamed("category", "category2")))
@@ -303,11 +338,11 @@ def eligible_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def category_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.weights(classify.distinct_links(classify.eligible(_matches(spark, sf))))
+    return _weights(spark, sf).drop("key")
 
 
 def category_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.ranking(category_weights(spark, sf))
+    return classify.ranking(_weights(spark, sf)).drop("key")
 
 
 def disambiguate(spark: SparkSession, sf: str) -> DataFrame:
@@ -327,6 +362,10 @@ def standoff_spans(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("doc_id", "offset_begin", "offset_end", F.array_join(F.transform("links", lambda x: F.concat_ws("|", x["link"], x["domain"])), ",").alias("links"))
 
 
+def standoff_merged_json(spark: SparkSession, sf: str) -> DataFrame:
+    return annotate.standoff(_merged(spark, sf))
+
+
 def standoff_json(spark: SparkSession, sf: str) -> DataFrame:
     return annotate.standoff(classify.disambiguate(_matches(spark, sf)))
 
@@ -344,7 +383,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tag_to_concept, concept_dictionary, dictionary_probe, stopword_antijoin, phrase_longest_match, link_spans_greedy, multilink_merge,
         first_occurrence, self_link_filter, domain_filter, html_skip_depth, html_text_runs, html_text_length, html_links, harvest_pages,
         flatten_harvest, harvest_diff_delete, harvest_diff_add, harvest_unchanged, upsert_objects, upsert_concepts, delete_concepts,
-        links_cache_build, links_cache_flush, invalidate_urls, merge_snapshots, msc_similarity_pairs, msc_log_similarity,
-        eligible_candidates, category_weights, category_ranking, disambiguate, annotate_html, annotate_rdfa, standoff_spans, standoff_json, crawl_bfs,
+        links_cache_build, links_cache_flush, links_of_concept, invalidate_urls, merge_snapshots, merge_snapshot_links, refresh_objects, msc_similarity_pairs, msc_log_similarity,
+        eligible_candidates, category_weights, category_ranking, disambiguate, annotate_html, annotate_rdfa, standoff_spans, standoff_json, standoff_merged_json, crawl_bfs,
     )
 }

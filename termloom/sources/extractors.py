@@ -7,10 +7,12 @@ categories array<string> handed down by the page that led to it, may be null).
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import text as t
+from termloom.functions.classes import RESOURCES
 
 HARVEST = "array<struct<concept:string,url:string,scheme:string,categories:array<string>,synonyms:array<string>>>"
 NONE = ["XX-XX"]
@@ -199,6 +201,12 @@ def harvest(pages: DataFrame, domain: str) -> DataFrame:
     return out.withColumn("url", t.canonical_url(F.col("url")))
 
 
+def blocked_categories(spark: SparkSession) -> DataFrame:
+    """(name) of the categories that lead away from the subject."""
+    names = pq.read_table(RESOURCES / "category_blacklist.parquet").column(0).to_pylist()
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
 def links(pages: DataFrame, domain: str) -> DataFrame:
     """(url, target) of the pages to be visited next."""
     return pages.select("url", F.explode(F.array_distinct(extractor(domain).links(F.col("url"), F.col("html")))).alias("target"))
