@@ -21,7 +21,7 @@ NOVELTY = 0.5  # least marginal bytes for each character
 ASSIGNED = re.compile(r"""[\w.\]-]{0,24}["']?\s*(?:=>|:=|=|:)\s*(?:"([^"\s]+)"|'([^'\s]+)'|((?:(?!&\w+=)[^\s"'<>])+))""")
 SHORT = 8  # characters of an assigned value, if not all are letters
 ASSIGNED_NOVELTY = 0.8  # least marginal bytes for each of its characters; random ones take 0.85 and more in any alphabet
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+?)\s*-----END")
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s([A-Za-z0-9+/=\s]+?)-----END")
 SCHEMA = "doc_id long, offset_begin int, offset_end int, context string, n_chars int, marginal_bytes int, novelty double"
 
 IDENTIFIERS = (
@@ -45,7 +45,7 @@ IDENTIFIERS = (
 def scanner(identifiers: str = IDENTIFIERS):  # noqa: ANN201
     """text -> [(begin, end, context, marginal bytes, novelty)]; one for each task."""
     context = re.compile(WORDS, re.I)
-    run = re.compile(rf"{RUN}{{{LEAST},}}")
+    run, start = re.compile(f"{RUN}+"), re.compile(f"{RUN}+")
     primed = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def scan(text: str) -> list[tuple[int, int, str, int, float]]:
@@ -63,27 +63,39 @@ def scanner(identifiers: str = IDENTIFIERS):  # noqa: ANN201
                 done = end
 
         for block in PEM.finditer(text):
-            report(*block.span(1), "private key", NOVELTY)
+            body = block.group(1)
+            if body.strip():
+                report(block.end(1) - len(body.lstrip()), block.start(1) + len(body.rstrip()), "private key", NOVELTY)
         blocks, done = [(b, e) for b, e, *_ in out], -1
+        assigned = run_end = tried = -1  # ends of the last assigned value, of the last run, and of the last run that was judged
         for word in context.finditer(text):
-            line = text.find("\n", word.end())
-            limit = len(text) if line < 0 else line
-            if m := ASSIGNED.match(text, word.end()):
-                begin, end = m.span(m.lastindex)
-                if m.lastindex == 3:
-                    end = begin + len(text[begin:end].rstrip(",;)]}."))
+            if word.end() >= assigned and (m := ASSIGNED.match(text, word.end())):
+                begin, assigned = m.span(m.lastindex)
+                end = assigned if m.lastindex < 3 else begin + len(text[begin:assigned].rstrip(",;)]}."))
                 value = text[begin:end]
                 odd = m.lastindex < 3 or not value.isalpha() or not (value.islower() or value[1:].islower())  # prose may follow a colon
                 if begin >= done and len(value) >= (LEAST if value.isalpha() else SHORT) and odd and not any(b < end and begin < e for b, e in blocks):
                     report(begin, end, word.group(), ASSIGNED_NOVELTY)
-            for m in run.finditer(text, word.end(), limit):
+            line = text.find("\n", word.end(), word.end() + AHEAD + 1)
+            limit = word.end() + AHEAD + 1 if line < 0 else line
+            for s in start.finditer(text, word.end(), limit):  # beginnings of runs; where a run goes on beyond is looked up once
+                if s.start() >= run_end:
+                    run_end = run.match(text, s.start()).end()
+                if run_end - s.start() < LEAST or run_end == tried:
+                    continue
                 # "password=x" is one run for the pattern: an assignment mark parts it
-                begin = m.start() + re.match(r"[=_.~/+-]*", m.group()).end()
-                end = m.end() - len(re.search(r"[=.~-]*$", m.group()[begin - m.start() :]).group())
+                begin, end = s.start(), run_end
+                while begin < end and text[begin] in "=_.~/+-":
+                    begin += 1
+                while end > begin and text[end - 1] in "=.~-":
+                    end -= 1
                 if begin - word.end() > AHEAD:
                     break
+                if begin < done or end - begin < LEAST:
+                    continue
+                tried = run_end
                 value = text[begin:end]
-                if begin < done or len(value) < LEAST or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+                if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                     continue
                 if not any(b < end and begin < e for b, e in blocks):
                     report(begin, end, word.group(), NOVELTY)
@@ -102,6 +114,8 @@ def find(docs: DataFrame, identifiers: str = IDENTIFIERS) -> DataFrame:
     for each character: sequences, placeholders and variants of what stands close by are cheap and aren't reported. A
     string that is repeated is held against the text without any of its copies, so each copy is reported.
 
+    A sensitive word within an assigned value that was measured is no context for another. Time is linear in a text's length.
+
     Null and empty texts give no rows; texts are scanned whole; repeated rows give repeated results; a null doc_id is
     reported as null; the string itself isn't returned; other columns aren't read. A map: nothing is shuffled.
     """
