@@ -46,15 +46,49 @@ PHONE = re.compile(  # + and a country's digits; a leading 0; or groups of 3 and
     rf"(?<![\w.+])(?:\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ ./-]?\d){{4,12}}|(?!{_DATE})\(?0\d{{1,4}}\)?(?:[ ./-]?\d\d){{3,6}}\d?"
     r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{3,4}[ .-]?\d{3,4}(?:[ .-]?\d{2,4})?)(?![\w]|\.\d)"
 )
+_FOURS = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}")  # the shape of a card, whatever its check digit
+_RANGE = re.compile(r"\d{4}[ -]\d{4}")  # years, pages, amounts; a phone only where the words before say so
 KINDS = (("email", EMAIL), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE))
 
 _DIGITS = re.compile(rf"(?i)(?<!\w)(?:(?:{_WORD}|\d)[\s,-]+){{3,}}(?:{_WORD}|\d)(?!\w)")
 _ONE = re.compile(rf"(?i)({_WORD}|\d)|[\s,-]+")
-_BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*")
-_BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*")
-_SPOKEN = re.compile(r"(?i)(?<![\w.])([a-z0-9][a-z0-9._%+-]*?(?:\s+dot\s+[a-z0-9_%+-]+)*)(\s+(?:at|arroba)\s+|\s*@\s*)([a-z0-9-]+(?:(?:\s+(?:dot|punkt|punto)\s+|\.)[a-z0-9-]+)+)(?![\w])")
+_BRACKET_AT = re.compile(r"(?i)[\[({<]\s*(?:at|arroba|@)\s*[\])}>]")
+_BRACKET_DOT = re.compile(r"(?i)[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]")
+# an address is sought from its at sign outwards, so that every character is looked at a fixed number of times
+_AT = re.compile(r"(?i)(?<!\S)(?:at|arroba)(?!\S)|@")
+_HOST = re.compile(r"(?i)([a-z0-9-]+(?:(?:\s+(?:dot|punkt|punto)\s+|\.)[a-z0-9-]+)+)(?![\w])")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _PLAIN_HOST = re.compile(r"(?!www\.)[A-Za-z0-9.-]+\.[a-z]{2,6}$")
 _SPOKEN_DOT = re.compile(r"(?i)\s+(?:dot|punkt|punto)\s+")
+_VERSION = re.compile(r"(?i)\bv(?:er(?:sion)?)?\.? ?$")  # what stands before numbers that are no address
+_CALL = re.compile(r"(?i)(?:phone|\btel|\bcall|fon|\bfax|mobile?|cell|appel|llam|ruf|number|num[ée]r|nummer)[^0-9]{0,12}$")
+
+
+def _spaces(text: str, a: int, b: int) -> tuple[int, int]:
+    """[a, b) with the white space around it."""
+    while a and text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and text[b].isspace():
+        b += 1
+    return a, b
+
+
+def _local(text: str, end: int, floor: int) -> int:
+    """Where the local part that ends at `end` begins: words of an address with "dot" spoken between them, not before floor."""
+    begin = end
+    while True:
+        at = begin
+        while at > floor and text[at - 1] in _LOCAL:
+            at -= 1
+        if at == begin:
+            return begin if begin == end else _spaces(text, begin, begin)[1]
+        begin = at
+        a = _spaces(text, begin, begin)[0]
+        dot = text[max(floor, a - 3) : a].lower()
+        c = _spaces(text, max(floor, a - 3), a)[0]
+        if a == begin or dot != "dot" or c == a - 3 or c <= floor or text[c - 1] not in _LOCAL:
+            return begin
+        begin = c
 
 
 class Mapped:
@@ -92,21 +126,28 @@ def normalise(text: str) -> Mapped:
             spans.append((x.start(), x.end(), _DIGIT.get(x.group().lower(), x.group()) if x.group(1) else ""))
     m.rewrite(spans)
     for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
-        m.rewrite([(x.start(), x.end(), new) for x in pattern.finditer(m.text)])
-    spans = []
-    for x in _SPOKEN.finditer(m.text):
-        if x.group(2).strip() == "@" and not _SPOKEN_DOT.search(x.group()) and x.group(2) == "@":
+        m.rewrite([(*_spaces(m.text, x.start(), x.end()), new) for x in pattern.finditer(m.text)])
+    spans, done = [], 0
+    for x in _AT.finditer(m.text):
+        a, b = _spaces(m.text, x.start(), x.end())
+        host = _HOST.match(m.text, b)
+        if a < done or not host:
+            continue
+        begin = _local(m.text, a, done)
+        while begin < a and not m.text[begin].isalnum():
+            begin += 1
+        if begin == a:
             continue
-        if x.group(2).strip() != "@" and not _SPOKEN_DOT.search(x.group(3)) and "." not in x.group(3):
+        local, right = m.text[begin:a], host.group(1)
+        spoken = _SPOKEN_DOT.search(right)
+        if x.group() == "@" and b - a == 1 and not spoken and not _SPOKEN_DOT.search(local):
             continue
-        if x.group(2).strip() != "@" and not _SPOKEN_DOT.search(x.group(3)) and not _PLAIN_HOST.match(x.group(3)):
+        if x.group() != "@" and not spoken and not _PLAIN_HOST.match(right):
             continue  # "look at www.example.com" is no address
-        for part in (1, 2, 3):
-            a, b = x.span(part)
-            if part == 2:
-                spans.append((a, b, "@"))
-            else:
-                spans += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(m.text, a, b)]
+        spans += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(m.text, begin, a)]
+        spans.append((a, b, "@"))
+        spans += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(m.text, b, host.end())]
+        done = host.end()
     m.rewrite(spans)
     return m
 
@@ -130,7 +171,11 @@ def detect(text: str) -> list[tuple[str, int, int, str, bool]]:
             digits = re.sub(r"\D", "", value)
             if taken[a:b].any():
                 continue
-            if kind == "card" and len(digits) != 16 and not luhn(digits):
+            if kind == "card" and not luhn(digits) and not _FOURS.fullmatch(value):
+                continue
+            if kind == "ip" and _VERSION.search(m.text[max(0, a - 9) : a]):
+                continue
+            if kind == "phone" and _RANGE.fullmatch(value) and m.end[b - 1] - m.begin[a] == b - a and not _CALL.search(m.text[max(0, a - 32) : a]):
                 continue
             if kind == "phone" and not (7 <= len(digits) <= 15 and (not value.isdigit() or len(digits) >= 10 or m.end[b - 1] - m.begin[a] != b - a)):
                 continue
@@ -144,6 +189,9 @@ def find(docs: DataFrame) -> DataFrame:
     """One row for each identifier (email, ip, ssn, card, phone) of each row of docs: its kind, the characters
     [offset_begin, offset_end) of the source text that it takes up, its normalised value, and whether it was disguised.
 
+    Cards have a right check digit or are four groups of four; two groups of four digits are a phone only after a word like "call" or
+    "tel", or if they were spelled; numbers after "v" or "version" are no ip. Time is linear in a text's length.
+
     Null and empty texts give no rows; texts are read whole; repeated rows give repeated results; a null doc_id is
     reported as null; other columns aren't read. A linear-time pattern over whole batches finds the texts that can hold an
     identifier at all; only those go through the transducers. A map: nothing is shuffled.
