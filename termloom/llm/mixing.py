@@ -73,7 +73,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     the uniform one; with one class only, that class has nearly all."""
     known = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("y")).dropna().dropDuplicates(["doc_id"])
     picked = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text")  # at most `sample` rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # of several texts of a doc_id the smallest is used, so there are at most `sample` rows
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _vec.tables()
