@@ -21,7 +21,8 @@ MASS = 0.3  # share of an item passage's inverse document frequencies that a can
 LCS = 0.6  # share of the item's words in the longest common subsequence
 LCS_ANSWER = 0.45  # the share that is enough if the passage also holds the answer
 ANSWER_WORDS = 6  # the item's last words count as its answer
-ITEMS = 20_000  # benchmark items held by a task at once; more take further passes
+ITEMS = 10_000  # benchmark items held by a task at once (about 10 MB of bits and vectors for passages of an item); more take further passes
+ROWS = 256  # passages whose cosines with all items are computed at once
 SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
 
 
@@ -176,10 +177,10 @@ def _items(texts: list[str], ids: list[int], vectors: np.ndarray, weight: np.nda
     unit = _unit(np.add.reduceat(vectors[_feature(h)], first, axis=0)) if len(first) else np.zeros((0, vectors.shape[1]), np.float32)
     lens = np.minimum(end, at[text + 1]) - first
     spot = np.cumsum(np.diff(at) > 0) - 1
-    held = np.zeros((len(first), 1 + (1 << BITS)), np.float32)  # weights of the features that each passage has
+    held = np.zeros((len(first), (1 << BITS) // 8 + 1), np.uint8)  # a bit for each feature that a passage has
     for i, (a, b) in enumerate(zip(first, end)):
-        f = _feature(h[a:b])
-        held[i, f] = weight[f]
+        f = _feature(h[a:b]).astype(np.int64)
+        np.bitwise_or.at(held[i], f >> 3, (1 << (f & 7)).astype(np.uint8))
     mass = np.array([weight[_feature(h[a:b])].sum() for a, b in zip(first, end)], np.float32)
     # a passage of few item words lies in a passage of WINDOW words: its cosine is lower by the root of their ratio
     return {"items": items, "unit": unit.astype(np.float32), "item": spot[text], "held": held, "mass": mass, "scale": np.sqrt(np.minimum(1, np.maximum(lens, 1) / WINDOW)).astype(np.float32)}
@@ -215,11 +216,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     for part in range(-(-n // ITEMS)):
         own = bench if n <= ITEMS else bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(-(-n // ITEMS))) == part)
         rows = own.orderBy("item_id", "text").collect()
-        known = spark.sparkContext.broadcast((_items([r.text for r in rows], [r.item_id for r in rows], vectors, weight), _padded(vectors)))
+        known = spark.sparkContext.broadcast((_items([r.text for r in rows], [r.item_id for r in rows], vectors, weight), _padded(vectors), np.append(weight, np.float32(0))))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             t = _vec.tables()
-            bm, vec = known.value
+            bm, vec, weights = known.value
             limit = (cosine * bm["scale"])[None, :]
             for batch in batches:
                 doc_ids = batch.column("doc_id")
@@ -239,12 +240,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                     p = _unit(sums[at_half] + sums[nxt] * two[:, None])
                     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
                     places = _places(f, first, end, WINDOW).T
-                    for a in range(0, len(p), 2048):
-                        c = p[a : a + 2048] @ bm["unit"].T
+                    for a in range(0, len(p), ROWS):
+                        c = p[a : a + ROWS] @ bm["unit"].T
                         hit = np.flatnonzero(c >= limit)
                         i, j = hit // c.shape[1], hit % c.shape[1]
                         cos, i = c.ravel()[hit], i + a
-                        mass = bm["held"].ravel()[j[:, None] * bm["held"].shape[1] + places[i]].sum(1)
+                        own = places[i]
+                        mass = (weights[own] * ((bm["held"][j[:, None], own >> 3] >> (own & 7)) & 1)).sum(1)
                         keep = mass >= MASS * bm["mass"][j]
                         for row, k, cos1 in zip(i[keep].tolist(), bm["item"][j[keep]].tolist(), cos[keep].tolist()):
                             item, d = bm["items"][k], int(text[row])
