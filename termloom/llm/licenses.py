@@ -1,9 +1,11 @@
 """Licence scan: sparse TF-IDF cosine of lines to licence templates, then inheritance from the nearest ancestor directory."""
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ COSINE = 0.6  # least cosine of a line with a template
 SLOTS = 1 << 18  # hashed words whose document frequencies are counted
 SMOOTH = 0.001  # share of documents added to a word's own, so that weights of rare words don't grow with the table
 FILE_SHARE = 0.9  # share of a text's words in licence lines from which it is a licence file of its directory
-FILE_NAMES = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)[^/]*$"  # or by its name
+FILE_NAMES = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[._-](?:md|txt|rst|html?|mit|apache|bsd|gpl|lgpl|agpl|mpl|[0-9.]+))*$"  # or by its name
+GENERIC = "proprietary"  # its sentence stands in files of all licences too: any other licence goes before it
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)")
 
 TEMPLATES = (  # (licence, header or sentence of its file)
     ("MIT", "Released under the MIT License."),
@@ -86,8 +90,8 @@ def idf(texts: DataFrame) -> np.ndarray:
 
 
 def own_licenses(texts: DataFrame, templates: tuple = TEMPLATES, cosine: float = COSINE) -> DataFrame:
-    """(path, own, cosine, line, share) for each row of texts (path, text): the licence of the line that is nearest to a
-    template (the first of equal ones), the line's number from 0, and the share of the text's words in licence lines."""
+    """(path, own, cosine, line, share) for each row of texts (path, text): the licence of the first SPDX tag, else of the line that is
+    nearest to a template (the first of equal ones; GENERIC only if there is no other), the line's number from 0, and the share of the text's words in licence lines."""
     weights = texts.sparkSession.sparkContext.broadcast(idf(texts))
     names, tf, _ = _vocabulary(templates)
     weight = weights.value[_hashed(names)]
@@ -127,8 +131,13 @@ def own_licenses(texts: DataFrame, templates: tuple = TEMPLATES, cosine: float =
                         if c.max() >= cosine:
                             shares[d] += (z - a) / (at[d + 1] - at[d])
                             at_line = int(uniq[u]) - d - (int(breaks[off[d] - 1]) if off[d] else 0)
-                            if d not in best or c.max() > best[d][1] + 1e-9:
+                            rank = (labels[int(c.argmax())] != GENERIC, float(c.max()))
+                            if d not in best or rank > (best[d][0] != GENERIC, best[d][1] + 1e-9):
                                 best[d] = (labels[int(c.argmax())], float(c.max()), at_line)
+                for d in np.flatnonzero(pc.fill_null(pc.match_substring(part, "SPDX-License-Identifier:"), False).to_numpy(zero_copy_only=False)).tolist():
+                    whole = part[d].as_py()
+                    if m := SPDX.search(whole):  # a tag is the plainest statement
+                        best[d] = (m.group(1), 1.0, whole.count("\n", 0, m.start()))
                 got = [best.get(d, (None, None, None)) for d in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("path").slice(lo, hi - lo), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int32()), pa.array(shares)],
