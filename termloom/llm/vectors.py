@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from termloom.llm import _vec
 from termloom.llm._io import cut
+from termloom.llm.graph import components
 
 COSINE = 0.98
 BLOCK = 8  # dimensions of a block
@@ -39,10 +39,35 @@ def _cells(y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """(id_a, id_b, cosine): all pairs of vectors, id_a < id_b, whose cosine is at least `cosine`; no pair is missed.
+    """(vec_id, class_id, n_links): one row for each vector with a near duplicate. Classes are the components of all pairs of a cosine of
+    at least `cosine`, class_id being its smallest vec_id; n_links is the number of other ids that the vector makes such a pair with,
+    copies counted each. See near_pairs() for the pairs; copies are never expanded into pairs.
 
-    Vectors of equal components are collapsed first: each copy has one row, with the smallest id of its kind, and
-    only that one takes part in other pairs, so thousands of copies take as many rows.
+    An id with several vectors has a row for each class of theirs. Nulls, empty tables and odd vectors: see near_pairs()."""
+    kinds = _kinds(embeddings)
+    pairs = cut(near_pairs(kinds, cosine, block))
+    many = cut(kinds.groupBy("rep").agg(F.count_distinct("vec_id").alias("many")))
+    both = pairs.select(F.inline(F.array(*[F.struct(F.col(x).alias("rep"), F.col(y).alias("other")) for x, y in (("id_a", "id_b"), ("id_b", "id_a"))])))
+    links = both.join(many.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("many").alias("links"))
+    root = components(pairs.select(F.col("id_b").alias("a"), F.col("id_a").alias("b"))).select(F.col("node").alias("rep"), "root")
+    of = many.join(links, "rep", "left").join(root, "rep", "left")
+    of = of.select("rep", F.coalesce("root", "rep").alias("class_id"), (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).filter("n_links > 0")
+    return kinds.select("vec_id", "rep").distinct().join(of, "rep").groupBy("vec_id", "class_id").agg(F.max("n_links").alias("n_links"))
+
+
+def _kinds(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, embedding, rep) of the vectors that take part, rep being the smallest id with equal components. Groups of copies are
+    summed up on the map side, and only ids go back to their members."""
+    good = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(embedding, x -> x <> 0)"
+    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(good)
+    rows = rows.withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(1), "embedding")})
+    reps = rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"))
+    return cut(rows.join(reps, ["k1", "k2"]).select("vec_id", "embedding", "rep"))
+
+
+def near_pairs(kinds: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """(id_a, id_b, cosine): all pairs of different vectors of kinds (see _kinds()), id_a < id_b, whose cosine is at least `cosine`;
+    no pair is missed. Of equal vectors only the one of the smallest id takes part.
 
     Vectors are scaled to length 1, so the cosine bounds the squared distance by e = 2 - 2 cosine, and are rotated at
     random, which spreads distance evenly over dimensions. Cut into blocks, two vectors within e have a block in which
@@ -56,10 +81,6 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
     id is no pair with itself. Other columns aren't read.
     """
     e = 2 - 2 * cosine
-    good = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(embedding, x -> x <> 0)"
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(good)
-    kinds = cut(rows.withColumn("rep", F.min("vec_id").over(Window.partitionBy("embedding"))))
-    copies = kinds.filter("vec_id <> rep").select(F.col("rep").alias("id_a"), F.col("vec_id").alias("id_b"), F.lit(1.0).alias("cosine")).distinct()
     reps = kinds.filter("vec_id = rep").select("vec_id", "embedding").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +116,13 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
     value = dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))
     exact = pairs.join(a, "id_a").join(b, "id_b").filter(F.size("x") == F.size("y")).select("id_a", "id_b", value.alias("cosine"))
-    return exact.filter(F.col("cosine") >= cosine).groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine")).unionByName(copies)
+    return exact.filter(F.col("cosine") >= cosine).groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
 
 
 ORACLE = f"""
-WITH k AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, min(vec_id) OVER (PARTITION BY embedding) AS rep FROM embeddings),
-r AS (SELECT * FROM k WHERE vec_id = rep)
-SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.x, b.x) AS cosine
-FROM r a JOIN r b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= {COSINE}
-UNION ALL SELECT rep, vec_id, 1.0 FROM k WHERE vec_id <> rep
+WITH RECURSIVE k AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, min(vec_id) OVER (PARTITION BY embedding) AS rep FROM embeddings),
+l AS (SELECT a.vec_id AS i, a.rep AS ra, b.rep AS rb FROM k a JOIN k b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= {COSINE}),
+w AS (SELECT DISTINCT ra AS node, ra AS root FROM l UNION SELECT w.node, l.rb FROM w JOIN l ON l.ra = w.root),
+c AS (SELECT node, min(root) AS class_id FROM w GROUP BY 1)
+SELECT i AS vec_id, class_id, count(*) AS n_links FROM l JOIN c ON node = ra GROUP BY 1, 2
 """
