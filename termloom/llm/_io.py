@@ -1,6 +1,7 @@
 """Tables, scratch tables in the cluster's shared folder, and size-checked joins."""
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where none is set (tests), a folder of our own, which is then set."""
+    """The session's spark.checkpoint.dir; where none is set, a folder of our own, which is then set, but only in local mode (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='termloom-')}"
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
