@@ -52,7 +52,7 @@ def drop(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+def join_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join with a table of ids that was cut(): broadcast up to BROADCAST_ROWS rows, by a shuffle beyond."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
 

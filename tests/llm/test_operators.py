@@ -208,38 +208,50 @@ def test_jaccard_against_brute_force(spark, docs):
     group = {x: r.group_id for r in got for x in (r.doc_id, r.duplicate_of)}
     assert all(abs(true[frozenset((r.doc_id, r.duplicate_of))] - r.jaccard) < 1e-9 for r in got)
     assert np.mean([all(x in group for x in p) and len({group[x] for x in p}) == 1 for p in true]) >= 0.98
-    assert len(got) == len(group) - len(set(group.values()))
+    links = {i: {x for p in true if i in p for x in p} - {i} for i in {x for p in true for x in p}}
+    assert {r.doc_id: r.n_links for r in got} == {i: len(x) for i, x in links.items()}
+    assert all(abs(max(true[frozenset((r.doc_id, x))] for x in links[r.doc_id]) - r.jaccard) < 1e-9 for r in got)
     kept = [r.doc_id for r in jaccard.deduplicated(df).collect()]
-    assert kept.count(0) == 1 and None in kept and len(kept) == len({i for i, _, _ in rows}) - len(got)
+    assert kept.count(0) == 1 and None in kept and len(kept) == len({i for i, _, _ in rows}) - sum(r.doc_id != r.group_id for r in got)
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
-def labels(n, pairs):
-    root = list(range(n))
-    for x, y in pairs:
-        a, b = sorted((root[x], root[y]))
-        root = [a if z == b else z for z in root]
-    return root
-
-
-def test_node_edges_connect_what_all_pairs_connect():
+def test_node_edges_give_all_pairs():
     r = np.random.default_rng(8)
     for _ in range(60):
         n = int(r.integers(2, 25))
-        low = r.integers(0, 3, (n, 40)).astype(np.uint8)
-        low[1::2] = np.where(r.random(low[1::2].shape) < 0.4, low[0], low[1::2])
-        ids = r.permutation(n)
-        s = lambda i, j: max(0, ((low[i] == low[j]).mean() - 1 / 256) / (1 - 1 / 256))
-        a, b, est = jaccard.node_edges(ids, low, 0.4, 0.6)
-        at = {x: i for i, x in enumerate(ids.tolist())}
-        assert all(x > y and abs(e - s(at[x], at[y])) < 1e-9 and e >= 0.4 for x, y, e in zip(a, b, est))
-        pairs = [(int(ids[i]), int(ids[j])) for i in range(n) for j in range(i) if s(i, j) >= 0.4]
-        sure = [(int(ids[i]), int(ids[j])) for i in range(n) for j in range(i) if s(i, j) >= 0.6]
-        assert labels(n, zip(a, b)) == labels(n, pairs)
-        forest = [(x, y) for x, y, e in zip(a, b, est) if e >= 0.6]
-        assert labels(n, forest) == labels(n, sure) and len(forest) == n - len(set(labels(n, sure)))
-        part = labels(n, sure)
-        assert {frozenset((x, y)) for x, y, e in zip(a, b, est) if e < 0.6} == {frozenset(p) for p in pairs if part[p[0]] != part[p[1]]}
+        bits = r.integers(0, 3, (n, 40)).astype(np.uint8)
+        bits[1::2] = np.where(r.random(bits[1::2].shape) < 0.4, bits[0], bits[1::2])
+        low, tids, side, tags = bits[:, 0::2] | (bits[:, 1::2] << 4), r.permutation(n), r.integers(0, 2, n), r.integers(0, 9, (n, 3))
+        pairs = {(i, j) for i in range(n) for j in range(i) if ((bits[i] == bits[j]).mean() - 1 / 16) / (1 - 1 / 16) >= 0.4}
+        give = lambda *x: [(i, j) for i, js in jaccard.node_edges(tids, low, 0.4, *x) for j in js.tolist()]
+        assert sorted(give()) == sorted(pairs)
+        assert set(give(side)) == {(i, j) for i, j in pairs if side[i] != side[j]}
+        assert set(give(None, tags)) == {(i, j) for i, j in pairs if not (tags[i] == tags[j]).any()}
+
+
+def test_every_link_of_a_dense_group_is_counted(docs):
+    r = random.Random(5)
+    base, rows = [f"w{r.randrange(10**6)}" for _ in range(120)], []
+    for i in range(70):
+        text = list(base)
+        for k in r.sample(range(120), r.randrange(1, 14)):
+            text[k] = f"x{i}"
+        rows.append((i, " ".join(text), "en"))
+    rows += [(200, rows[3][1], "en"), (201, rows[3][1], "en"), (202, rows[3][1], "en"), (202, rows[4][1], "en"), (202, rows[4][1], "en"), (203, rows[5][1], "en"), (203, "one more version of it that is unlike all", "en"), (204, "One more version of it, that is unlike all!", "en")]
+    texts = {}
+    for i, t, _ in rows:
+        w = "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        texts.setdefault(i, {})[tuple(w)] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    links, best = {}, {}
+    for i, mine in texts.items():
+        for j, others in texts.items():
+            js = [len(a & b) / len(a | b) for a in mine.values() for b in others.values()] if i != j else []
+            links[i] = links.get(i, 0) + sum(x >= jaccard.THRESHOLD for x in js)
+            best[i] = max(best.get(i, (0, 0)), (max(js, default=0), -j))
+    got = {x.doc_id: x for x in jaccard.near_duplicates(docs(*rows)).collect()}
+    assert {i: x.n_links for i, x in got.items()} == {i: k for i, k in links.items() if k}
+    assert all(abs(x.jaccard - best[i][0]) < 1e-9 and x.duplicate_of == -best[i][1] and x.group_id == 0 for i, x in got.items())
 
 
 def test_blocks_of_a_large_node_meet_in_pairs(spark, docs, monkeypatch):
@@ -248,7 +260,7 @@ def test_blocks_of_a_large_node_meet_in_pairs(spark, docs, monkeypatch):
     sigs = jaccard.signatures(df)
     groups = {}
     for x in jaccard.node_members(sigs).collect():
-        groups.setdefault((x.p, x.a, x.b), set()).add(x.doc_id)
+        groups.setdefault((x.p, x.a, x.b), set()).add(x.tid)
     nodes = {}
     for (p, *_), g in groups.items():
         nodes.setdefault(p, set()).update(g)
@@ -256,7 +268,7 @@ def test_blocks_of_a_large_node_meet_in_pairs(spark, docs, monkeypatch):
         met = {(i, j) for (q, *_), g in groups.items() if q == p for i in g for j in g}
         assert met == {(i, j) for i in node for j in node}
     got = jaccard.near_duplicates(df).collect()
-    assert len(got) == 24 and {r.group_id for r in got} == {0}
+    assert {(r.doc_id, r.group_id, r.n_links) for r in got} == {(i, 0, 24) for i in range(25)}
 
 
 def test_loose_pairs_within_shared_boilerplate(docs):
