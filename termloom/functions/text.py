@@ -10,8 +10,7 @@ LETTER = r"[\p{L}\p{M}\p{N}_]"
 INNER = r"[\p{L}\p{M}\p{N}_+'-]"
 WORD = f"{LETTER}{INNER}*"
 PIECE = rf"(?:{WORD}|[^\p{{L}}\p{{M}}\p{{N}}_]+)"  # words and what lies between them, without loss
-PHRASE = rf"^{WORD}(?:\s+{WORD})*$"
-
+PHRASE = rf"^{WORD}(?:\s+{WORD})*+$"  # possessive: a group that may give back takes a stack frame for each word
 
 
 def _letters() -> tuple[str, str]:
