@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import canonical_url, with_protocol
-from termloom.operators import annotate, classify, crawl, discover, harvest, segment
+from termloom.operators import annotate, classify, crawl, discover, harvest, linking, segment
 from termloom.operators.kb import KnowledgeBase, add_objects, relink, settled
 from termloom.sources import extractors
 
@@ -22,12 +22,13 @@ class LinkOptions:
 
 def find_matches(docs: DataFrame, kb: KnowledgeBase, options: LinkOptions = LinkOptions()) -> tuple[DataFrame, DataFrame]:
     """(matches after disambiguation, matches before it, from which edges are made) of docs (doc_id, text[, url])."""
+    own = segment.once(docs.select("doc_id", "text"))
     if options.format.lower() == "html":
-        runs = segment.html_runs(docs.select("doc_id", F.col("text").alias("html")))
+        runs = segment.html_runs(own.select("doc_id", F.col("text").alias("html")))
     else:
-        runs = segment.text_runs(docs if options.format.lower() == "text" else docs.limit(0))
+        runs = segment.text_runs(own if options.format.lower() == "text" else own.limit(0))
     urls = docs.select("doc_id", "url") if "url" in docs.columns else None
-    found = discover.discover(runs, kb.concepts, urls)
+    found = discover.discover(runs, kb.concepts, urls, linking.found(runs, kb.concepts))
     return classify.disambiguate(found, options.include_all), found
 
 

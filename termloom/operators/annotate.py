@@ -90,12 +90,19 @@ def embed(docs: DataFrame, matches: DataFrame, annotation: str = "html", domain:
 def standoff(matches: DataFrame, domain: str | None = None) -> DataFrame:
     """(doc_id, payload): a document's matches as a JSON list, links with protocol, in order of offset and conceptid."""
     m = domain_filter(matches, domain)
-    one = F.struct(
-        "offset_begin", "offset_end", "conceptid", "concept", "category", "scheme", "domain",
-        with_protocol(F.col("link")).alias("link"), F.transform("multilinks", with_protocol).alias("multilinks"),
-    )
+    one = F.struct("offset_begin", "offset_end", *_described(F.col("concept")))
     return m.groupBy(*doc_keys(m)).agg(F.to_json(F.sort_array(F.collect_list(one))).alias("payload")).drop("key")
 
 
+def _described(concept: Column) -> list[Column]:
+    own = ["conceptid", concept.alias("concept"), "category", "scheme", "domain"]
+    return [*own, with_protocol(F.col("link")).alias("link"), F.transform("multilinks", with_protocol).alias("multilinks")]
+
+
+def json_of(concept: Column) -> Column:
+    """The object of a match in standoff(), but for its place."""
+    return F.to_json(F.struct(*_described(concept)))
+
+
 def response(payload: Column, status: str = "OK", message: str = "") -> Column:
     return F.to_json(F.struct(payload.alias("payload"), F.lit(message).alias("message"), F.lit(status).alias("status")))

@@ -122,11 +122,17 @@ def first_occurrences(matches: DataFrame) -> DataFrame:
     return matches.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
-def without_self_links(matches: DataFrame, urls: DataFrame) -> DataFrame:
-    """matches whose link isn't their document's url (doc_id[, key], url); both in canonical form. Documents without a url keep all."""
+def without_self_links(matches: DataFrame, urls: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """matches whose link isn't their document's url (doc_id[, key], url); both in canonical form. Documents without a url keep all.
+    Given the concepts that matches are of, only the documents whose url is some concept's link are looked at; these are as few as
+    links, so matches aren't shuffled."""
     keys = [c for c in doc_keys(matches) if c in urls.columns]
     own = urls.select(*[F.col(k).alias(f"_{k}") for k in keys], canonical_url(F.col("url")).alias("own")).distinct()
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    if concepts is not None:
+        links = concepts.select("link", canonical_url(F.col("link")).alias("own")).dropna().distinct()
+        own = own.join(side(links), "own").withColumnRenamed("link", "_link")
+        return matches.join(side(own), [*same, F.col("link") == F.col("_link")], "left_anti").select(*matches.columns)
     both = matches.join(own, same, "left")
     kept = both.filter(F.col("own").isNull() | F.col("link").isNull() | (canonical_url(F.col("link")) != F.col("own")))
     return kept.select(*matches.columns)
@@ -137,10 +143,10 @@ def domain_filter(matches: DataFrame, domain: str | None) -> DataFrame:
     return matches if not domain or domain.lower() == "all" else matches.filter(F.col("domain") == domain)
 
 
-def discover(runs: DataFrame, concepts: DataFrame, urls: DataFrame | None = None) -> DataFrame:
-    """Matches of concepts in runs: longest, greedy, merged, without self links, first occurrences."""
-    m = with_concepts(greedy(spans(runs, concepts)), merged(concepts))
-    return first_occurrences(without_self_links(m, urls) if urls is not None else m)
+def discover(runs: DataFrame, concepts: DataFrame, urls: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Matches of concepts in runs: longest, greedy (found, if these are known), merged, without self links, first occurrences."""
+    m = with_concepts(greedy(spans(runs, concepts)) if found is None else found, merged(concepts))
+    return first_occurrences(without_self_links(m, urls, concepts) if urls is not None else m)
 
 
 def edges(matches: DataFrame, objects: DataFrame) -> DataFrame:

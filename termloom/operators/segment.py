@@ -14,6 +14,7 @@ TAGS = r"(?s)(<!--.*?-->|<[^>]*>|[^<]+|<)"
 SKIPPED = ("head", "style", "title", "script", "xmp", "iframe", "code", "math", "svg", "sup", "a")  # and h1, h2, ...; span.nolink apart
 _SKIP = "(?:" + "|".join(SKIPPED) + "|h[0-9]+)"
 _BLOCK = 24
+_IDS = 1_000_000  # most ids that are broadcast
 
 
 def doc_keys(df: DataFrame) -> list[str]:
@@ -24,6 +25,27 @@ def doc_key(text: str) -> Column:
     return F.xxhash64("doc_id", text)
 
 
+def repeated(docs: DataFrame) -> DataFrame | None:
+    """(doc_id) of those that docs have more than once, or None if there are none."""
+    again = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    n = again.count()
+    return None if n == 0 else F.broadcast(again) if n <= _IDS else again
+
+
+def distinct(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """The distinct ones of rows, of which only those of doc_ids in `again` can be equal; no others are shuffled."""
+    if again is None:
+        return rows
+    ids = again.select(F.col("doc_id").alias("_again"))
+    same = rows["doc_id"].eqNullSafe(ids["_again"])
+    return rows.join(ids, same, "left_anti").unionByName(rows.join(ids, same, "left_semi").distinct())
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """docs without repeats of wholly equal rows."""
+    return distinct(docs, repeated(docs))
+
+
 def running(items: str, state: str, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
     """The states (of type `state`) before each element of the array column `items`, and after the last.
 
