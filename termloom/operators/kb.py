@@ -1,12 +1,14 @@
 """The knowledge base: objects, concepts and the links cache as DataFrames, and changes to them as new DataFrames."""
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termloom.functions.text import concept_of, first_word, tail_words
+from termloom.operators.discover import side
 from termloom.operators.scratch import cut
 
 OBJECTS = "objectid long, url string, domain string, modified timestamp"
@@ -67,6 +69,11 @@ def settled(kb: KnowledgeBase) -> KnowledgeBase:
     return KnowledgeBase(cut(kb.objects), cut(kb.concepts), cut(kb.links))
 
 
+def _hashed(objects: DataFrame) -> DataFrame:
+    """Objects to be joined with edges, of which they have many each: edges are parted by object, but not sorted."""
+    return objects.hint("shuffle_hash")
+
+
 def numbered(rows: DataFrame, known: DataFrame, key: str, *order: str) -> DataFrame:
     """rows with ids above the largest of known, dense and in the given order. Ranges are sorted apart and counted; a row's
     number is its place in its range after all earlier ranges, so no single task sees all rows. The ranges come from a
@@ -156,17 +163,15 @@ def invalidated(kb: KnowledgeBase, conceptids: DataFrame) -> DataFrame:
 def merge(kbs: list[KnowledgeBase]) -> KnowledgeBase:
     """Objects and concepts of several bases under new dense ids, in order of base and former id. Edges follow their ids."""
     tag = lambda df, k: df.withColumn("source", F.lit(k))
-    union = lambda name: [tag(getattr(kb, name), k) for k, kb in enumerate(kbs)]
-    objects, concepts, links = union("objects"), union("concepts"), union("links")
-    o, c, e = objects[0], concepts[0], links[0]
-    for a, b, d in zip(objects[1:], concepts[1:], links[1:]):
-        o, c, e = o.unionByName(a), c.unionByName(b), e.unionByName(d)
-    empty = o.sparkSession.createDataFrame([], "objectid long, conceptid long")
-    o = numbered(o.withColumnRenamed("objectid", "old"), empty, "objectid", "source", "old")
+    union = lambda name: reduce(DataFrame.unionByName, [tag(getattr(kb, name), k) for k, kb in enumerate(kbs)])
+    empty = kbs[0].objects.sparkSession.createDataFrame([], LINKS)
+    o = numbered(union("objects").withColumnRenamed("objectid", "old"), empty, "objectid", "source", "old")
     ids = o.select("source", F.col("old").alias("objectid"), F.col("objectid").alias("new"))
-    c = c.join(ids, ["source", "objectid"]).withColumn("objectid", F.col("new")).drop("new")
+    c = union("concepts").join(ids, ["source", "objectid"]).withColumn("objectid", F.col("new")).drop("new")
     c = numbered(c.withColumnRenamed("conceptid", "old"), empty, "conceptid", "source", "old")
     names = c.select("source", F.col("old").alias("conceptid"), F.col("conceptid").alias("renamed"))
-    e = e.join(ids, ["source", "objectid"]).join(names, ["source", "conceptid"]).select(F.col("new").alias("objectid"), F.col("renamed").alias("conceptid"))
+    own = lambda df, k: df.filter(F.col("source") == k).drop("source")
+    # edges are many beside objects and concepts: those of a base are shuffled once, and not sorted
+    e = [kb.links.join(side(own(names, k)), "conceptid").join(_hashed(own(ids, k)), "objectid").select(F.col("new").alias("objectid"), F.col("renamed").alias("conceptid")) for k, kb in enumerate(kbs)]
     cols = [x.split()[0] for x in OBJECTS.split(", ")], [x.split()[0] for x in CONCEPTS.split(", ")]
-    return KnowledgeBase(o.select(*cols[0]), c.select(*cols[1]), e)
+    return KnowledgeBase(o.select(*cols[0]), c.select(*cols[1]), reduce(DataFrame.unionByName, e))
