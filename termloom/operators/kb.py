@@ -151,13 +151,13 @@ def delete_concepts(kb: KnowledgeBase, rows: DataFrame) -> KnowledgeBase:
 
 def relink(kb: KnowledgeBase, edges: DataFrame, objects: DataFrame) -> KnowledgeBase:
     """The edges of objects (objectid) are replaced by theirs in edges (objectid, conceptid)."""
-    old = kb.links.join(objects.select("objectid").distinct(), "objectid", "left_anti")
+    old = kb.links.join(_hashed(objects.select("objectid").distinct()), "objectid", "left_anti")
     return KnowledgeBase(kb.objects, kb.concepts, old.unionByName(edges.select("objectid", "conceptid").dropna()).distinct())
 
 
 def invalidated(kb: KnowledgeBase, conceptids: DataFrame) -> DataFrame:
     """(url) of the objects that link one of conceptids, once for each edge."""
-    return kb.links.join(conceptids.select("conceptid").distinct(), "conceptid").join(kb.objects, "objectid").select("url")
+    return kb.links.join(side(conceptids.select("conceptid").distinct()), "conceptid").join(_hashed(kb.objects), "objectid").select("url")
 
 
 def merge(kbs: list[KnowledgeBase]) -> KnowledgeBase:
